@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import bpe
+from isobar.llm import bpe, media, mixing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": bpe.op4_bpe,
+    "op6_pii": pii.op6_pii,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_media": media.op9_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": mixing.OP8_SQL,
+}
