@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import bpe, media, mixing, pii
+from isobar.llm import bpe, chat, media, mixing, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": warc.op2_warc,
+    "op3_chat": chat.op3_chat,
     "op4_bpe": bpe.op4_bpe,
     "op6_pii": pii.op6_pii,
     "op8_mixing": mixing.op8_mixing,
@@ -16,5 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.OP2_SQL,
+    "op3_chat": chat.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
