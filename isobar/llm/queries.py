@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import bpe, chat, media, minhash, mixing, pii, topk, warc
+from isobar.llm import bpe, chat, media, minhash, mixing, pii, quality, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
     "op2_warc": warc.op2_warc,
     "op3_chat": chat.op3_chat,
     "op4_bpe": bpe.op4_bpe,
+    "op5_quality": quality.op5_quality,
     "op6_pii": pii.op6_pii,
     "op8_mixing": mixing.op8_mixing,
     "op9_media": media.op9_media,
