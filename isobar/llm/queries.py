@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import bpe, chat, media, minhash, mixing, pii, quality, topk, warc
+from isobar.llm import bpe, chat, media, minhash, mixing, pii, quality, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": bpe.op4_bpe,
     "op5_quality": quality.op5_quality,
     "op6_pii": pii.op6_pii,
+    "op7_substring": substring.op7_substring,
     "op8_mixing": mixing.op8_mixing,
     "op9_media": media.op9_media,
     "op10_topk": topk.op10_topk,
