@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,9 @@ from isobar.llm.base import bounded_batches, slices, table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG = 200
 CACHED = 200_000
-NONE = 1 << 60
+NONE = 1 << 30
+#: A space that white space or the end follows.
+DOUBLE = re.compile(r" (?=\s|\Z)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,19 +43,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class Words(dict):
-    """Ids by word, filled as words come; emptied when full."""
+class Cache:
+    """Values by text in two generations: when the new one is full it becomes the old one, and what is still used moves up."""
 
-    def __init__(self, bpe: Bpe):
-        self.bpe = bpe
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= CACHED:
-            self.clear()
-        ids = self.bpe.merge(word.encode())
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def missing(self, texts: set[str]) -> list[str]:
+        """Texts without a value. Until the next call, new holds the others."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        out = []
+        for x in texts.difference(self.new):
+            value = self.old.get(x)
+            if value is None:
+                out.append(x)
+            else:
+                self.new[x] = value
+        return out
 
 
 class Bpe:
@@ -64,6 +73,7 @@ class Bpe:
         self.of_byte = [0] * 256
         for letter, byte in letters.items():
             self.of_byte[byte] = vocab[letter]
+        self.byte_ids = np.array(self.of_byte, np.int32)
         self.bytes = {i: (bytes(letters[c] for c in t) if t not in self.added else t.encode()) for t, i in vocab.items()}
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
@@ -72,7 +82,16 @@ class Bpe:
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.words = Words(self)
+        self.words, self.spaced = Cache(CACHED), Cache(CACHED)
+        self.keys = np.sort(np.array([a << 20 | b for a, b in self.pairs], np.int64))
+        found = [self.pairs[int(x) >> 20, int(x) & 0xFFFFF] for x in self.keys]
+        self.ranks = np.array([x[0] for x in found], np.int32)
+        self.merged = np.zeros(len(model["merges"]), np.int32)
+        self.merged[self.ranks] = [x[1] for x in found]
+        top = 1 + max(self.bytes)
+        self.lengths = np.array([len(self.bytes.get(i, b"")) for i in range(top)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.letters = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(top)), np.uint8)
 
     def merge(self, word: bytes) -> list[int]:
         ids = [self.of_byte[b] for b in word]
@@ -113,20 +132,91 @@ class Bpe:
                     heapq.heappush(heap, (found[0], x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
-    def encode(self, text: str) -> list[int]:
-        if not self.special or not self.special.search(text):
-            return list(chain.from_iterable(map(self.words.__getitem__, self.split.findall(text))))
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += chain.from_iterable(map(self.words.__getitem__, self.split.findall(text[at : m.start()])))
-            out.append(self.added[m[0]])
-            at = m.end()
-        out += chain.from_iterable(map(self.words.__getitem__, self.split.findall(text[at:])))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """Unknown ids stand for nothing; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes.get, ids) if all(map(self.bytes.__contains__, set(ids))) else (self.bytes.get(i, b"") for i in ids)).decode("utf-8", "replace")
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(NONE))
+
+    def merge_block(self, words: list[bytes]) -> list[bytes]:
+        """merge() for many words of one length: row by row the same scan, deletion and refreshing. Ids as int32 bytes.
+
+        Each step takes one part from every row that is left, so the rows stay equally long.
+        """
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)].reshape(len(words), -1)
+        ranks = self.rank(ids[:, :-1], ids[:, 1:])
+        rows, out = np.arange(len(words)), [b""] * len(words)
+        while True:
+            width = ids.shape[1]
+            k = ranks.argmin(1) if width > 1 else np.zeros(len(rows), int)
+            least = ranks[np.arange(len(rows)), k] if width > 1 else np.full(len(rows), NONE, np.int32)
+            going = least < NONE
+            if not going.all():
+                ended = np.ascontiguousarray(ids[~going]).tobytes()
+                for n, row in enumerate(rows[~going].tolist()):
+                    out[row] = ended[4 * width * n : 4 * width * (n + 1)]
+                if not going.any():
+                    return out
+                ids, ranks, rows, k, least = ids[going], ranks[going], rows[going], k[going], least[going]
+            each, at = np.arange(len(rows)), np.arange(width)
+            ids = np.where(at[:-1] <= k[:, None], ids[:, :-1], ids[:, 1:])
+            ids[each, k] = self.merged[least]
+            ranks = np.where(at[:-2] < k[:, None], ranks[:, :-1], ranks[:, 1:])
+            r = each[k < width - 2]
+            ranks[r, k[r]] = self.rank(ids[r, k[r]], ids[r, k[r] + 1])
+            r = each[k > 0]
+            ranks[r, k[r] - 1] = self.rank(ids[r, k[r] - 1], ids[r, k[r]])
+
+    def learn_words(self, words: set[str]) -> None:
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        for x in self.words.missing(words):
+            raw = x.encode()
+            by_length.setdefault(len(raw), []).append((x, raw))
+        for n, found in by_length.items():
+            if n > 40 or len(found) < 8:
+                self.words.new.update((x, np.array(self.merge(raw), np.int32).tobytes()) for x, raw in found)
+            else:
+                self.words.new.update(zip([x for x, _ in found], self.merge_block([raw for _, raw in found]), strict=True))
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text.
+
+        A word always begins at a space that non-space follows. Where every space is of that kind, a text is split at its
+        spaces, and each piece has ids of its own; other texts are split by the pattern at once.
+        """
+        plans: list[list[tuple[bool, list[str]]]] = []  # per text its parts: pieces after a space, or words
+        for text in texts:
+            plan, at = [], 0
+            cuts = [*self.special.finditer(text)] if self.special else []
+            for m in [*cuts, None]:
+                part = text[at : m.start()] if m else text[at:] if at else text
+                if DOUBLE.search(part):
+                    plan.append((False, self.split.findall(part)))
+                else:
+                    first, *pieces = part.split(" ")
+                    plan += [(False, self.split.findall(first)), (True, pieces)]
+                if m:
+                    plan.append((False, [m[0]]))
+                    at = m.end()
+            plans.append(plan)
+        spaced = self.spaced.missing(set(chain.from_iterable(x for plan in plans for own, x in plan if own)))
+        split = [self.split.findall(" " + x) for x in spaced]
+        self.learn_words(set(chain(chain.from_iterable(split), chain.from_iterable(x for plan in plans for own, x in plan if not own))))
+        word, piece = self.words.new, self.spaced.new
+        for content, i in self.added.items():
+            word[content] = np.int32(i).tobytes()
+        piece.update((x, b"".join(map(word.__getitem__, s))) for x, s in zip(spaced, split, strict=True))
+        get = {True: piece.__getitem__, False: word.__getitem__}
+        return [np.frombuffer(b"".join(chain.from_iterable(map(get[own], x) for own, x in plan)), np.int32) for plan in plans]
+
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of lists of ids that stand one after the other. Unknown ids are nothing; bytes that aren't UTF-8 become U+FFFD."""
+        known = (ids >= 0) & (ids < len(self.lengths))
+        safe = np.where(known, ids, 0)
+        lengths = np.where(known, self.lengths[safe], 0)
+        place = np.concatenate([[0], np.cumsum(lengths)])
+        letters = self.letters[np.repeat(self.starts[safe] - place[:-1], lengths) + np.arange(place[-1])].tobytes()
+        cuts = place[ends].tolist()
+        return [letters[a:b].decode("utf-8", "replace") for a, b in zip([0, *cuts], cuts)]  # noqa: B905
 
 
 @lru_cache(maxsize=2)
@@ -146,13 +236,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in slices(batches):
-            parts, ends = [], [0]
-            for text in batch.column(1):
-                part = np.array(bpe.encode(text.as_py() or ""), np.int32)
-                parts.append(part)
-                ends.append(ends[-1] + len(part))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))], names=[id_col, "ids"])
+        for batch in slices(batches, 512):
+            parts = bpe.encode_many([x.as_py() or "" for x in batch.column(1)])
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], names=[id_col, "ids"])
 
     kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
     return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -165,8 +252,10 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in slices(batches):
-            texts = pa.array([bpe.decode(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []) for ids in batch.column(1)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=[id_col, "ids", "decoded"])
+            ids = batch.column(1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+            texts = bpe.decode_many(pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False), ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
     kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
     return df.select(id_col, F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
