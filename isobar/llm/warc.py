@@ -62,30 +62,36 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return records, payloads
 
 
+def checked(payloads: DataFrame) -> DataFrame:
+    """(digest, payload, found): stored payloads with the digest of their bytes, which has to be the one they stand under."""
+    found = F.sha2("payload", 256)
+    fault = F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest"))).cast("string")
+    return payloads.select("digest", "payload", F.when(found == F.col("digest"), found).otherwise(fault).alias("found"))
+
+
 def rebuilt(records: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(record, head, payload): the bytes of each original record, its header's text and its full payload, checked."""
-    joined = records.join(payloads, "digest")
+    """(record, head, payload): the bytes of each original record, its header's text and its full payload."""
+    joined = records.join(checked(payloads), "digest").where(F.col("found").isNotNull())
     head = F.decode("head", "utf-8")
     block = F.when(head.contains(f"WARC-Type: revisit{CRLF}"), F.lit(b"")).otherwise(F.col("payload"))
-    end = F.lit(b"\r\n\r\n")
-    checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest"))).cast("binary"))
-    return joined.select(F.concat("head", block, end).alias("record"), head.alias("head"), checked.alias("payload"))
+    return joined.select(F.concat("head", block, F.lit(b"\r\n\r\n")).alias("record"), head.alias("head"), "payload")
 
 
-def fields(df: DataFrame) -> DataFrame:
-    """What a record's header says, and the size and digest of its full payload."""
+def listed(records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """What each record's header says, and the size and digest of its full payload.
+
+    Stored payloads are read and digested once each, before the join, so only their sizes and digests are shuffled.
+    """
     value = lambda name, of=r"([^\r]*)": F.regexp_extract("head", rf"(?md)^{name}: {of}\r$", 1)
     number = lambda name: F.expr(f"try_cast({name} as bigint)")
-    return (
-        df.select(value("WARC-Record-ID", "<urn:page:([^>]*)>").alias("own"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), value("WARC-Type").alias("record_type"), value("WARC-Refers-To", "<urn:page:([^>]*)>").alias("to"))
-        .withColumn("page_id", number("own"))
-        .withColumn("refers_to", number("to"))
-        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    )
+    facts = checked(payloads).select("digest", F.length("payload").cast("long").alias("payload_bytes"), F.col("found").alias("payload_digest"))
+    heads = records.select(F.decode("head", "utf-8").alias("head")).withColumn("digest", value("WARC-Payload-Digest", "sha256:([0-9a-f]*)"))
+    parsed = heads.select("digest", value("WARC-Record-ID", "<urn:page:([^>]*)>").alias("own"), value("WARC-Type").alias("record_type"), value("WARC-Refers-To", "<urn:page:([^>]*)>").alias("to"))
+    return parsed.join(facts, "digest").select(number("own").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("to").alias("refers_to"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields(rebuilt(*archive(table(spark, sf_dir, "pages"))))
+    return listed(*archive(table(spark, sf_dir, "pages")))
 
 
 OP2_SQL = """
