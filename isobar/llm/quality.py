@@ -32,7 +32,7 @@ GRADES = 3
 #: Texts of the sample that a feature must be in: rarer words tell only of those texts.
 LEAST_TEXTS = 10
 KEEP = 0.5
-ROUNDS, RATE, DECAY = 150, 0.05, 3e-3
+ROUNDS, RATE, DECAY = 300, 0.05, 3e-3
 #: Runs of marks, which are words too.
 RUNS = re.compile(r"[!-/:-@\[-`{-~]{2,}")
 #: Words of a text are those between these characters.
