@@ -73,7 +73,7 @@ def rebuilt(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """(record, head, payload): the bytes of each original record, its header's text and its full payload."""
     joined = records.join(checked(payloads), "digest").where(F.col("found").isNotNull())
     head = F.decode("head", "utf-8")
-    block = F.when(head.contains(f"WARC-Type: revisit{CRLF}"), F.lit(b"")).otherwise(F.col("payload"))
+    block = F.when(head.rlike(r"(?md)^WARC-Type: revisit\r$"), F.lit(b"")).otherwise(F.col("payload"))
     return joined.select(F.concat("head", block, F.lit(b"\r\n\r\n")).alias("record"), head.alias("head"), "payload")
 
 
