@@ -7,7 +7,6 @@ by tile, an equi-join on a grid of the selections' own extent, so that no plan c
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -84,9 +83,7 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def ring_meets_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Whether a ring and a box share area: a corner or the centre inside the other, or sides that cross."""
-    corner = reduce(lambda a, b: a | b, [in_ring(x, y, ring) for x, y in ((x0, y0), (x0, y1), (x1, y0), (x1, y1), ((x0 + x1) / 2, (y0 + y1) / 2))])
-    inside = F.exists(ring, lambda p: (p.x > x0) & (p.x < x1) & (p.y > y0) & (p.y < y1))
+    """Whether a ring and a box share area: a side passes through the box's inside, or else the box lies in the ring as its centre does."""
     nexts = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
 
     def cut(s: Column) -> Column:
@@ -98,7 +95,7 @@ def ring_meets_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column)
         level = (dx.isNotNull() | ((s.a.x > x0) & (s.a.x < x1))) & (dy.isNotNull() | ((s.a.y > y0) & (s.a.y < y1)))
         return level & (low < high)
 
-    return corner | inside | F.exists(F.arrays_zip(ring.alias("a"), nexts.alias("b")), cut)
+    return in_ring((x0 + x1) / 2, (y0 + y1) / 2, ring) | F.exists(F.arrays_zip(ring.alias("a"), nexts.alias("b")), cut)
 
 
 def meeting(f: Field, sel: DataFrame, test: Column, tile: float | None = None) -> DataFrame:
@@ -307,3 +304,39 @@ def reorder(f: Field, name: str = "x_index") -> Field:
     from isobar.operators.filters import with_index
 
     return with_index(f, "x", name)
+
+
+def wrap_ring(ring: list[tuple[float, float]], unwrap: bool = False) -> list[list[tuple[float, float]]]:
+    """A ring in 0..360 as rings in -180..180 (or the other way round), cut where it passes the edge."""
+    if unwrap:
+        parts = [(cut_ring(ring, (0.0, -90.0, 180.0, 90.0)), 0.0), (cut_ring(ring, (-180.0, -90.0, 0.0, 90.0)), 360.0)]
+    else:
+        parts = [(cut_ring(ring, (0.0, -90.0, 180.0, 90.0)), 0.0), (cut_ring(ring, (180.0, -90.0, 360.0, 90.0)), -360.0)]
+    return [[(x + d, y) for x, y in p] for p, d in parts if area_of(p) > 0]
+
+
+def corners_2d(df: DataFrame, iy: str, ix: str, x: str, y: str) -> DataFrame:
+    """(iy, ix, ring): corners of a curvilinear grid's cells, from its centres.
+
+    A corner is the mean of the four centres around it; beyond the edges centres go on with the step before them. Each
+    centre is sent to the four corners that it counts for, so the grid is never in one task.
+    """
+    size = df.agg(F.min(iy).alias("a"), F.max(iy).alias("b"), F.min(ix).alias("c"), F.max(ix).alias("d"))
+
+    def beyond(points: DataFrame, axis: str, low: str, high: str) -> DataFrame:
+        """Points, and one more beyond each end of an axis, reflected about the end."""
+        ends = points.join(F.broadcast(size))
+        step = F.when(F.col(axis) == F.col(low), -1).when(F.col(axis) == F.col(high), 1)
+        last = ends.where(step.isNotNull()).withColumn("__to", F.col(axis) + step).withColumn("__one", F.col(axis) - step)
+        other = [iy if axis == ix else ix]
+        inner = points.select(F.col(axis).alias("__one"), *other, F.col(x).alias("__x"), F.col(y).alias("__y"))
+        grown = last.join(inner, ["__one", *other]).select(F.col("__to").alias(axis), *other, (2 * F.col(x) - F.col("__x")).alias(x), (2 * F.col(y) - F.col("__y")).alias(y))
+        return points.unionByName(grown)
+
+    wide = beyond(beyond(df.select(iy, ix, x, y), iy, "a", "b"), ix, "c", "d")
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
+    nodes = wide.withColumn("__o", around).groupBy((F.col(iy) + F.col("__o.a")).alias("ny"), (F.col(ix) + F.col("__o.b")).alias("nx")).agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.count("*").alias("n")).where("n = 4")
+    place = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0))))))
+    cells = df.select(iy, ix, place.alias("__p")).select(iy, ix, F.col("__p.k").alias("k"), (F.col(iy) + F.col("__p.a")).alias("ny"), (F.col(ix) + F.col("__p.b")).alias("nx"))
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))
+    return cells.join(nodes, ["ny", "nx"]).groupBy(iy, ix).agg(ring.alias("ring"))

@@ -18,6 +18,7 @@ from isobar.functions import units as U
 from isobar.model import DimensionMap, Field, merge
 from isobar.operators import filters
 from isobar.sources.netcdf import NetcdfSource
+from isobar.sources.vector import read_shapefile
 
 Reader = Callable[[SparkSession, list[str], dict[str, Any]], DataFrame]
 
@@ -55,6 +56,7 @@ DRIVERS: list[Driver] = [
     Driver("csv", r"\.csv/?$", lambda s, p, o: s.read.options(**{"header": True, **o}).csv(p)),
     Driver("json", r"\.(json|jsonl)$", lambda s, p, o: s.read.options(**o).json(p)),
     Driver("vector", r"\.geojson$", read_geojson, 1),
+    Driver("shapefile", r"\.shp$", lambda s, p, o: read_shapefile(s, p[0])),
     Driver("netcdf", r"\.nc$", read_netcdf),
 ]
 
