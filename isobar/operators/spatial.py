@@ -129,11 +129,15 @@ def intersects(f: Field, sel: DataFrame, touch: bool | None = None, optimized: b
     return f.with_df(meeting(f, sel, test, tile).drop(*gone).withColumnRenamed("ugid", "UGID"))
 
 
-def union_intersects(f: Field, sel: DataFrame, touch: bool | None = None) -> Field:
+def union_intersects(f: Field, sel: DataFrame, touch: bool | None = None, tile: float | None = None) -> Field:
     """Cells that meet any selection, once each, with ugid 1."""
     polygons = bool(f.bounds("x") and f.bounds("y"))
     test = overlaps(f, not polygons if touch is None else touch)
-    return f.with_df(f.df.join(F.broadcast(sel) if sel.count() <= SMALL else sel, test, "left_semi").withColumn("UGID", F.lit(1)))
+    if tile is None and sel.count() <= SMALL:
+        return f.with_df(f.df.join(F.broadcast(sel), test, "left_semi").withColumn("UGID", F.lit(1)))
+    rows = f.with_df(f.df.withColumn("__row", F.monotonically_increasing_id()))
+    met = meeting(rows, sel, test, tile or 1.0).dropDuplicates(["__row"])
+    return f.with_df(met.select(*f.df.columns, F.lit(1).alias("UGID")))
 
 
 def clip(f: Field, sel: DataFrame) -> Field:
@@ -193,15 +197,33 @@ def counter_clockwise(ring: Column) -> Column:
     return F.when(ring_area(ring) < 0, F.reverse(ring)).otherwise(ring)
 
 
-def nearest(f: Field, sel: DataFrame, order: str) -> Field:
-    """For each selection the cell nearest to its centre; of equally near ones, that with the largest order column."""
+def nearest(f: Field, sel: DataFrame, order: str, tile: float | None = None) -> Field:
+    """For each selection the cell nearest to its centre; of equally near ones, that with the largest order column.
+
+    More than SMALL selections search outwards by tiles: cells within a reach are found by equi-join, a cell no farther than the
+    reach is the nearest, and selections without one go on with twice the reach.
+    """
+    x, y = f.dims.column("x"), f.dims.column("y")
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    x, y = f.axis("x"), f.axis("y")
-    d = (x - cx) * (x - cx) + (y - cy) * (y - cy)
-    cells = f.df.select(order, x.alias("__x"), y.alias("__y")).distinct()
-    pairs = cells.withColumnsRenamed({"__x": f.dims.column("x"), "__y": f.dims.column("y")}).join(F.broadcast(sel))
-    best = pairs.groupBy("ugid").agg(F.min_by(F.struct(order), F.struct(d, -F.col(order))).alias("best"), F.min(d).alias("__d2"))
-    return f.with_df(f.df.join(F.broadcast(best.select(F.col("ugid").alias("UGID"), F.col(f"best.{order}").alias("__order"), "__d2")), F.col(order) == F.col("__order")).drop("__order"))
+    cells = f.df.select(order, F.col(x).alias("__x"), F.col(y).alias("__y")).distinct()
+    centres = sel.select("ugid", cx.alias("__cx"), cy.alias("__cy"))
+    d = (F.col("__x") - F.col("__cx")) * (F.col("__x") - F.col("__cx")) + (F.col("__y") - F.col("__cy")) * (F.col("__y") - F.col("__cy"))
+    pick = lambda pairs: pairs.groupBy("ugid").agg(F.min_by(F.struct(order), F.struct(d, -F.col(order))).alias("best"), F.min(d).alias("__d2"))
+    if tile is None and sel.count() <= SMALL:
+        best = pick(cells.join(F.broadcast(centres)))
+    else:
+        reach, best, left, empty = tile or 1.0, None, centres, cells.isEmpty()
+        while not empty and not left.isEmpty():
+            span = lambda c, r: F.explode(F.sequence(F.floor((c - r) / r), F.floor((c + r) / r)))
+            asked = left.withColumn("__tx", span(F.col("__cx"), F.lit(reach))).withColumn("__ty", span(F.col("__cy"), F.lit(reach)))
+            near = cells.withColumn("__tx", F.floor(F.col("__x") / reach)).withColumn("__ty", F.floor(F.col("__y") / reach))
+            found = pick(asked.join(near, ["__tx", "__ty"])).where(F.col("__d2") <= reach * reach)
+            best = found if best is None else best.unionByName(found)
+            left, reach = left.join(found.select("ugid"), "ugid", "left_anti"), reach * 2
+        if best is None:
+            best = pick(cells.join(centres.limit(0), F.lit(False)))
+    answer = best.select(F.col("ugid").alias("UGID"), F.col(f"best.{order}").alias("__order"), "__d2")
+    return f.with_df(f.df.join(answer, F.col(order) == F.col("__order")).drop("__order"))
 
 
 def within_radius(f: Field, sel: DataFrame, radius: float) -> Field:

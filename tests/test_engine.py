@@ -88,6 +88,18 @@ def test_ring_meets_box_where_only_sides_cross(spark):
     assert not df.select(spatial.ring_meets_box(F.col("r"), F.col("a"), F.lit(0.7), F.col("b"), F.col("b"))).first()[0]
 
 
+def test_many_selections_by_tiles(simple, spark):
+    r = random.Random(2)
+    cells = [(k, r.uniform(0, 50), r.uniform(0, 50)) for k in range(400)]
+    f = Field.of(spark.createDataFrame([(k, x, y, 1.0) for k, x, y in cells], "gid int, x double, y double, v double"))
+    areas = [(x, y, x + r.uniform(0, 9), y + r.uniform(0, 9)) for x, y in ((r.uniform(-30, 70), r.uniform(0, 50)) for _ in range(25))]
+    sel = spatial.selections(spark, areas)
+    pairs = lambda g: sorted((a.UGID, a.gid) for a in g.df.collect())
+    assert pairs(spatial.nearest(f, sel, "gid", tile=0.5)) == pairs(spatial.nearest(f, sel, "gid"))
+    assert pairs(spatial.union_intersects(f, sel, tile=3.0)) == pairs(spatial.union_intersects(f, sel))
+    assert pairs(spatial.intersects(f, sel, tile=3.0)) == pairs(spatial.intersects(f, sel))
+
+
 def test_bounds_of_time(simple):
     f = filters.time_range(simple, datetime(2000, 3, 5), datetime(2000, 3, 6))
     assert sorted({r.time.day for r in f.df.collect()}) == [5, 6]
