@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import struct
 from collections.abc import Callable
@@ -167,6 +166,3 @@ def write(f: Field, output_format: str, path: str, **options: Any) -> None:
         raise DefinitionError(f"output_format {output_format}")
     WRITERS[output_format](f, path, **options)
 
-
-def dumps(value: dict) -> str:
-    return json.dumps(value, default=str, sort_keys=True)
