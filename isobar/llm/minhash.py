@@ -9,10 +9,10 @@ the full sets.
 Equal sets are first collapsed by a 128-bit digest, so copies never pair. Then three steps find every link:
 1. In each bucket every member is paired with the bucket's centre: as many pairs as members, however hot the bucket.
 2. Pairs are verified on full sets, dealt out by centre and chunk; links give components (large star, small star).
-3. A bucket whose members lie in several components may hide more links. Its members meet block by block (never a whole
-   hot bucket in one task); pairs from different components whose whole sketches agree in at least NEAR of T bins are
-   verified as well. At similarity 0.8 a pair misses all bands with probability (1 - 0.8^4)^32 < 1e-7, and has fewer
-   than NEAR agreements (six standard deviations) more rarely still.
+3. A bucket whose members lie in several components may hide more links. Its members' full sets meet block by block (never
+   a whole hot bucket in one task), where all intersections of members of different components are counted through an
+   inverted index; only links that join components come out, fewer than members, whatever the group.
+At similarity 0.8 a pair misses all bands with probability (1 - 0.8^4)^32 < 1e-7.
 
 Null, empty and blank texts have no shingles, link with nothing and are kept. Texts with fewer than k words have one
 shingle. Rows with a null id are reported with a null component and kept. Rows that repeat an id are kept or dropped
@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +34,14 @@ from isobar.llm.components import components
 from isobar.llm.shingles import mixed, shingle_set
 
 T, ROWS = 128, 4
-NEAR = 76
 #: Similarity from which documents are linked, as a fraction.
 OVER, UNDER = 80, 100
 #: Members of a centre in one verification; members of a block of a bucket.
 CHUNK, BLOCK, SALTS = 256, 512, 16
+#: Bytes of a shingle's number in step 3.
+WIDTH = 5
+#: Hits of an inverted index, and bytes of sets, that are in memory at once.
+HITS, BYTES = 1 << 20, 1 << 24
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -72,7 +74,7 @@ def digest(of: np.ndarray) -> bytes:
 
 
 def sketched(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, digest, bands, brief) for each row; brief holds the low byte of each coordinate."""
+    """(doc_id, n, digest, bands) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -80,13 +82,10 @@ def sketched(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             all_ = sketches(sets)
             numbers = pa.array(bands(all_).view(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (T // ROWS)), numbers)
-            brief = (all_ & np.uint64(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), lists, pa.array([x.tobytes() for x in brief], pa.binary())], names=["doc_id", "n", "digest", "bands", "brief"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), lists], names=["doc_id", "n", "digest", "bands"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, brief binary")
+    return rows.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>")
 
 
 def verified(df: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -100,18 +99,21 @@ def verified(df: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str
     wanted = members.unionByName(centres).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("centre", "chunk")).alias("tasks"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("centre", pa.int64()), ("chunk", pa.int32()), ("raw", pa.binary())])
         for batch in slices(batches):
-            ids, centre, chunk, own, raws = [], [], [], [], []
+            rows, held = {x: [] for x in schema.names}, 0
             for doc, text, mark, tasks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "digest", "tasks")), strict=True):
                 found = shingle_set(text, k)
                 if digest(found) == mark:
                     raw = found.tobytes()
                     for x in tasks:
-                        ids.append(doc)
-                        centre.append(x["centre"])
-                        chunk.append(x["chunk"])
-                        raws.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(centre, pa.int64()), pa.array(chunk, pa.int32()), pa.array(raws, pa.binary())], names=["doc_id", "centre", "chunk", "raw"])
+                        for name, value in zip(rows, (doc, x["centre"], x["chunk"], raw), strict=True):
+                            rows[name].append(value)
+                        held += len(raw)
+                        if held > BYTES:
+                            yield pa.RecordBatch.from_pydict(rows, schema)
+                            rows, held = {x: [] for x in schema.names}, 0
+            yield pa.RecordBatch.from_pydict(rows, schema)
 
     def links(group: pa.Table) -> pa.Table:
         ids, raws = group.column("doc_id").to_pylist(), group.column("raw")
@@ -141,26 +143,102 @@ def alike(size: Column, other: Column) -> Column:
     return F.least(size, other) * UNDER >= F.greatest(size, other) * OVER
 
 
-def near_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block with itself or another block of its bucket, from different components, with sketches that agree."""
-    left, right = group[group["block"] == group["one"]], group[group["block"] == group["two"]]
-    a = np.frombuffer(b"".join(left["brief"]), np.uint8).reshape(len(left), T)
-    b = np.frombuffer(b"".join(right["brief"]), np.uint8).reshape(len(right), T)
-    n, m = left["n"].to_numpy(), right["n"].to_numpy()
-    p, q = left["component"].to_numpy(), right["component"].to_numpy()
-    ids, others, marks, other_marks = (x.to_numpy() for x in (left["rep"], right["rep"], left["digest"], right["digest"]))
-    out = []
-    for k in range(len(left)):
-        good = (q != p[k]) & (np.minimum(n[k], m) * UNDER >= np.maximum(n[k], m) * OVER)
-        good[good] = (b[good] == a[k]).sum(1) >= NEAR
-        out += [(ids[k], marks[k], others[j], other_marks[j]) if ids[k] > others[j] else (others[j], other_marks[j], ids[k], marks[k]) for j in np.flatnonzero(good) if group["one"].iloc[0] != group["two"].iloc[0] or ids[k] > others[j]]
-    return pd.DataFrame(out, columns=["a", "a_digest", "b", "b_digest"])
+def short(of: np.ndarray) -> bytes:
+    """The low 40 bits of each number, which tell a document's shingles apart."""
+    return of.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return out.view(np.uint64).reshape(-1)
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each left set the sizes of its intersections with all right sets, through an inverted index of the right ones."""
+    flat = np.concatenate(right)
+    owner = np.repeat(np.arange(len(right), dtype=np.int32), [len(x) for x in right])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for of in left:
+        low, high = np.searchsorted(flat, of, "left"), np.searchsorted(flat, of, "right")
+        ends = np.cumsum(high - low)
+        out = np.zeros(len(right), np.int64)
+        for at in range(0, int(ends[-1]), HITS):  # a part of the hits at a time: sets may be long and copies many
+            a, b = np.searchsorted(ends, [at, at + HITS], "right")
+            n = (high - low)[a:b]
+            hits = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out += np.bincount(owner[hits], minlength=len(right))
+        yield out
+
+
+def joining(group: pa.Table) -> pa.Table:
+    """Links between components among the sets of one or two blocks of a bucket: no more than join them, so fewer than sets.
+
+    Members of the most common component aren't compared with each other: they are one already.
+    """
+    block, one, two = group.column("block").to_numpy(), group.column("one")[0].as_py(), group.column("two")[0].as_py()
+    component, ids = group.column("component").to_numpy(), group.column("rep").to_numpy()
+    names, count = np.unique(component, return_counts=True)
+    out: list[tuple[int, int]] = []
+    if len(names) > 1:
+        sets = [long(x.as_py()) for x in group.column("raw")]
+        sizes = np.array([len(x) for x in sets])
+        minor = component != names[count.argmax()]
+        found = []
+        for test, other in ((minor, np.ones(len(ids), bool)), (~minor, minor)):
+            left, right = np.flatnonzero((block == one) & test), np.flatnonzero((block == two) & other)
+            if len(left) and len(right):
+                for i, inter in zip(left, shared([sets[k] for k in left], [sets[k] for k in right]), strict=True):
+                    good = (UNDER * inter >= OVER * (sizes[i] + sizes[right] - inter)) & (component[right] != component[i])
+                    found += [(i, j) for j in right[good]]
+        root = {int(x): int(x) for x in names}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, j in found:
+            a, b = top(int(component[i])), top(int(component[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+
+def across(df: DataFrame, members: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between components in buckets that hold several. members: (rep, digest, component, bucket, blocks)."""
+    place = F.struct("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    wanted = members.groupBy("rep", "digest", "component").agg(F.collect_list(place).alias("places"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("bucket", pa.int64()), ("one", pa.int32()), ("two", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("component", pa.int64()), ("raw", pa.binary())])
+        for batch in slices(batches):
+            rows, held = {x: [] for x in schema.names}, 0
+            for text, rep, mark, component, places in zip(*(batch.column(c).to_pylist() for c in ("text", "rep", "digest", "component", "places")), strict=True):
+                found = shingle_set(text, k)
+                if digest(found) == mark:
+                    raw = short(found)
+                    for x in places:
+                        for other in range(x["blocks"]):
+                            for name, value in zip(rows, (x["bucket"], min(x["block"], other), max(x["block"], other), x["block"], rep, component, raw), strict=True):
+                                rows[name].append(value)
+                            held += len(raw)
+                            if held > BYTES:
+                                yield pa.RecordBatch.from_pydict(rows, schema)
+                                rows, held = {x: [] for x in schema.names}, 0
+            yield pa.RecordBatch.from_pydict(rows, schema)
+
+    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(wanted, "rep").select("text", "rep", "digest", "component", "places").mapInArrow(sets, "bucket long, one int, two int, block int, rep long, component long, raw binary")
+    return rows.groupBy("bucket", "one", "two").applyInArrow(joining, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df."""
     rows = written(sketched(df, k, id_col, text_col), "sketches")
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("brief", "doc_id").alias("brief"))
+    reps = rows.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     reps = written(reps, "sets")
     buckets = reps.select("rep", "digest", "n", F.explode("bands").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rep", "digest", "n")).alias("centre")).where("size > 1")
@@ -172,17 +250,12 @@ def near_duplicates(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_col:
     found = components(links)
     # buckets of more than two members that lie in several components
     label = F.coalesce("component", "rep").alias("component")
-    placed = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "digest", "n", "brief", "bands", label)
-    open_ = placed.select("rep", "component", F.explode("bands").alias("bucket")).join(centres.where("size > 2").select("bucket", "size"), "bucket")
-    open_ = open_.groupBy("bucket", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ = written(open_, "open")
-    met = placed.withColumn("bucket", F.explode("bands")).drop("bands").join(open_, "bucket")
-    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meets = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    more = meets.drop("blocks", "other").groupBy("bucket", "one", "two").applyInPandas(near_pairs, "a long, a_digest binary, b long, b_digest binary").distinct()
-    more = written(more.join(pairs_done(pairs), ["a", "b"], "left_anti"), "near")
-    if not more.isEmpty():
-        found = components(written(links.unionByName(verified(df, more, k, id_col, text_col)), "all-links"))
+    placed = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "digest", label, F.explode("bands").alias("bucket"))
+    placed = placed.join(centres.where("size > 2").select("bucket", "size"), "bucket")
+    open_ = placed.groupBy("bucket", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    members = written(placed.join(written(open_, "open"), "bucket").select("rep", "digest", "component", "bucket", "blocks"), "open-members")
+    if not members.isEmpty():
+        found = components(written(links.unionByName(across(df, members, k, id_col, text_col)), "all-links"))
     labels = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     # copies that are a large part of all rows meet their set's label by digest and salt
     wide = labels.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
@@ -191,10 +264,6 @@ def near_duplicates(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def pairs_done(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b")
-
-
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)

@@ -89,6 +89,16 @@ def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in found)
 
 
+def test_intersections_in_parts(monkeypatch):
+    r = np.random.default_rng(9)
+    sets = [np.unique(r.integers(0, 60, n, dtype=np.uint64)) for n in (5, 40, 80, 1, 30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for hits in (1, 2, 3, 7, 50, 1 << 20):
+        monkeypatch.setattr(minhash, "HITS", hits)
+        assert [x.tolist() for x in minhash.shared(sets, sets)] == want
+    assert minhash.long(minhash.short(sets[2])).tolist() == sets[2].tolist()
+
+
 def test_components(spark):
     r = random.Random(8)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 80)]
