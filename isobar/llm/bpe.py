@@ -30,7 +30,7 @@ from isobar.llm.base import bounded_batches, slices, table
 #: Fixed value: the split of byte-level BPE into words. White space is Unicode's, as in the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG = 200
-CACHED = 200_000
+CACHED = 60_000
 NONE = 1 << 30
 #: A space that white space or the end follows.
 DOUBLE = re.compile(r" (?=\s|\Z)")
@@ -261,9 +261,25 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
     return df.select(id_col, F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(id, ids, decoded): encode and decode in one pass, so that ids needn't go out to be read again."""
+    path = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for batch in slices(batches, 256):
+            parts = bpe.encode_many([x.as_py() or "" for x in batch.column(1)])
+            ids, ends = np.concatenate(parts), np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            decoded = pa.array([x for at in range(0, len(parts), 32) for x in bpe.decode_many(ids[ends[at] : ends[min(at + 32, len(parts))]], ends[at + 1 : at + 33] - ends[at])], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), decoded], names=[id_col, "ids", "decoded"])
+
+    kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+
+
 def digests(df: DataFrame) -> DataFrame:
     """Per document the number of ids, the digest of the decimal ids and that of the decoded text."""
-    return decode(encode(df)).select(
+    return round_trip(df).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from isobar.llm.base import FORGET
+
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class WordNumbers(dict):
@@ -22,6 +24,7 @@ class WordNumbers(dict):
 
 
 NUMBERS = WordNumbers()
+FORGET.append(NUMBERS.clear)
 
 
 def words(text: str | None, lower: bool = False) -> list[bytes]:

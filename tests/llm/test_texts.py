@@ -63,6 +63,8 @@ def test_bpe_query(docs, no_docs, library):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got == [(i, len(ids), sha(",".join(map(str, ids))), sha(t)) for i, ids, t in want]
     assert bpe.digests(no_docs).count() == 0
+    two = {r.doc_id: (r.ids, r.decoded) for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert two == {r.doc_id: (r.ids, r.decoded) for r in bpe.round_trip(docs).collect()}
 
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
