@@ -112,6 +112,35 @@ def test_pii_leaves_prose(text):
     assert pii.spans(text) == [] and pii.masked_text(text) == text
 
 
+@pytest.mark.parametrize("opening, closing", ["[]", "()", "{}", "<>", "[)"])
+@pytest.mark.parametrize("before", ["", " "])
+@pytest.mark.parametrize("inner", ["", " "])
+@pytest.mark.parametrize("after", ["", " "])
+def test_pii_finds_every_bracket_and_spacing(opening, closing, before, inner, after):
+    form = lambda x: before + opening + inner + x + inner + closing + after
+    for at in ("at", "AT", "@"):
+        text = f"john{form(at)}example.com"
+        assert [(x["kind"], x["start"], x["end"]) for x in pii.spans(text)] == [("email", 0, len(text))], text
+        for dot in ("dot", "Dot", "."):
+            text = f"john{form(at)}example{form(dot)}com"
+            assert [(x["kind"], x["start"], x["end"]) for x in pii.spans(text)] == [("email", 0, len(text))], text
+    for dot in ("dot", "."):
+        text = f"john@example{form(dot)}com"
+        assert pii.masked_text(text) == "<EMAIL>", text
+
+
+@pytest.mark.parametrize("more", ["", " and a dot here", " or x @ y", " see @ here"])
+def test_pii_at_is_told_by_the_match_alone(more):
+    for text in ("john at example.com", "look at example.com"):
+        assert pii.masked_text(text + more) == text + more
+    for text in ("jane.doe at example.com", "joe99 at example.com", "john at example dot com", "john@example . com"):
+        assert pii.masked_text(text + more) == "<EMAIL>" + more
+
+
+def test_pii_finds_runs_of_common_digits():
+    assert pii.masked_text("ip one oh dot oh dot oh dot one end") == "ip <IP> end"
+
+
 def test_pii_is_linear():
     for text in ("a" * 200_000, "1" * 100_000, "1." * 50_000, "+1 (" * 20_000, "a@" * 50_000, "1 " * 50_000):
         pii.spans(text)
