@@ -2,8 +2,8 @@
 
 Method: small transducers rewrite a text (homoglyphs one for one; spelled digits; at and dot disguises) and keep, for
 each piece of the rewriting, the source interval that it stands for. Detectors run on the source (base spans) and on
-the rewriting; spans found there are carried back to source characters and added where they overlap no base span of
-their kind and the source really is disguised. Base spans are never changed.
+the rewriting; spans found there are carried back to source characters and added unless they lie inside a base span of
+their kind, where the source really is disguised. Base spans are never changed, so an added span may overlap them.
 
 Null text is empty and has no spans. Rows are independent: repeated rows give repeated results, null ids are kept, an
 empty table gives no rows, and other columns are not read. Each detector is linear in the text, however long.
@@ -52,6 +52,7 @@ SPOKEN = re.compile(rf"(?<=[A-Za-z0-9_%+-])( at | @ | ?@ ?)((?:[A-Za-z0-9-]+(?:
 SPOKEN_PART = re.compile(r"(?: at |@ ?)[A-Za-z0-9-]+(?: dot | \. |\.)", re.I)  # a part of each match of SPOKEN, quick to look for
 # Fixed value: local parts that are no words, before a plain "at" and a domain with plain dots ("look at example.com").
 HANDLE = re.compile(r"(?<![A-Za-z0-9._%+-])(?:[A-Za-z][A-Za-z0-9%+-]*(?:[._][A-Za-z0-9%+-]+)+|[A-Za-z]+[0-9][A-Za-z0-9]*)\Z")
+ENDED = re.compile(rf"(?:[A-Za-z0-9-]+\.)+(?:{TLD}) \. ", re.I)  # a plain domain and the end of a sentence
 SPOKEN_DOT = re.compile(r" dot | \. |\.", re.I)
 
 
@@ -112,7 +113,7 @@ def rewritings(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), ".") for m in DOT.finditer(text)]
     if SPOKEN_PART.search(text):
         for m in SPOKEN.finditer(text):
-            if m[1] == "@" and m[2].count(".") and " " not in m[2]:
+            if m[1] == "@" and m[2].count(".") and (" " not in m[2] or ENDED.match(m[2])):
                 continue
             if m[1].lower() == " at " and " " not in m[2] and not HANDLE.search(text[max(0, m.start() - 64) : m.start()]):
                 continue
@@ -153,11 +154,13 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     out = {}
     for kind, detect in DETECT.items():
         taken, new = base[kind], []
+        starts = [a for a, _ in taken]
         for start, end in detect(normal):
             i, j = bisect_right(norm, start) - 1, bisect_right(norm, end - 1) - 1
             s = source[i] if i % 2 else source[i] + start - norm[i]
             e = source[j + 1] if j % 2 else source[j] + end - norm[j]
-            if text[s:e] != normal[start:end] and not any(a < e and s < b for a, b in taken):
+            k = bisect_right(starts, s) - 1
+            if text[s:e] != normal[start:end] and not (k >= 0 and e <= taken[k][1]):
                 new.append((s, e))
         if new:
             out[kind] = new

@@ -141,6 +141,28 @@ def test_pii_finds_runs_of_common_digits():
     assert pii.masked_text("ip one oh dot oh dot oh dot one end") == "ip <IP> end"
 
 
+@pytest.mark.parametrize(
+    ("text", "base", "span"),
+    [
+        ("jоhn@example.com", "hn@example.com", "jоhn@example.com"),
+        ("john@mail.example [dot] com", "john@mail.example", "john@mail.example [dot] com"),
+        ("john@example.cоm", "john@example.c", "john@example.cоm"),
+        ("john [dot] doe@example.com", "doe@example.com", "john [dot] doe@example.com"),
+        ("10.0.0.1２", "10.0.0.1", "10.0.0.1２"),
+    ],
+)
+def test_pii_adds_spans_longer_than_base(text, base, span):
+    found = pii.spans(f"a {text} b")
+    assert {(f"a {text} b"[x["start"] : x["end"]], x["base"]) for x in found} == {(base, True), (span, False)}
+    tag = f"<{found[0]['kind'].upper()}>"
+    assert pii.masked_text(f"a {text} b") == f"a {tag} b"
+
+
+@pytest.mark.parametrize("text", ["to john@example.com . It works", "(аt) john@example.com, о", "Да: john@example.com"])
+def test_pii_adds_nothing_to_plain_spans(text):
+    assert [text[x["start"] : x["end"]] for x in pii.spans(text)] == ["john@example.com"]
+
+
 def test_pii_is_linear():
     for text in ("a" * 200_000, "1" * 100_000, "1." * 50_000, "+1 (" * 20_000, "a@" * 50_000, "1 " * 50_000):
         pii.spans(text)
