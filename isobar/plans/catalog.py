@@ -338,6 +338,13 @@ def index_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return calculate(few(spark, d), keys, ["year"]).df.select("x", "y", "year", *keys)
 
 
+@query("index_day_percentiles_all", SQL["index_day_percentiles"].replace(FEW, TAS))
+def index_day_percentiles_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all cells."""
+    keys = ["TG10p", "TX10p", "TN10p", "TG90p", "TX90p", "TN90p"]
+    return calculate(daily(spark, d, "248 + quantity", "v"), keys, ["year"]).df.select("x", "y", "year", *keys)
+
+
 @query(
     "index_spell_durations",
     f"with {FEW}, {BASIS}, h as (select t.x, t.y, time, year(time) as yr, v > q90 as hot, v < q10 as cold from t join q on t.x = q.x and t.y = q.y and month(time) = m and day(time) = dd), "
@@ -348,6 +355,12 @@ def index_spell_durations(spark: SparkSession, d: str) -> DataFrame:
     return calculate(few(spark, d), ["WSDI", "CSDI"], ["year"]).df.select("x", "y", "year", "WSDI", "CSDI")
 
 
+@query("index_spell_durations_all", SQL["index_spell_durations"].replace(FEW, TAS))
+def index_spell_durations_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all cells."""
+    return calculate(daily(spark, d, "248 + quantity", "v"), ["WSDI", "CSDI"], ["year"]).df.select("x", "y", "year", "WSDI", "CSDI")
+
+
 # Filters.
 FROM, TO = datetime(2024, 1, 5, 6), datetime(2024, 1, 12, 18)
 
