@@ -426,6 +426,13 @@ def mask_cascade(spark: SparkSession, d: str) -> DataFrame:
     return mask(f, F.col("quantity") > 25).df.select("x", "y", "price", "discount")
 
 
+@query("mask_cascade_all", SQL["mask_cascade"].replace(" where time < timestamp '1995-03-01'", ""))
+def mask_cascade_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all times."""
+    f = lines(spark, d, False, "quantity", "price", "discount")
+    return mask(f, F.col("quantity") > 25).df.select("x", "y", "price", "discount")
+
+
 @query("date_parts", f"with {EVENTS} select gid, cast(year(time) as int) as YEAR, cast(month(time) as int) as MONTH, cast(day(time) as int) as DAY, value from e")
 def date_parts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("time")
@@ -498,7 +505,7 @@ def sink_did(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sink_geojson")
 def sink_geojson(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.geojson(events(spark, d, True).where("gid < 100"))
+    return sinks.geojson(events(spark, d, True))
 
 
 # Space.

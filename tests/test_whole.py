@@ -1,5 +1,7 @@
 """Queries that must cover their whole tables."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,3 +15,12 @@ def test_all_cells_and_years(spark, name):
     of = lambda df: {tuple(r) for r in df.distinct().collect()}
     cells = catalog.daily(spark, DIR).df.select("x", "y", F.year("time").alias("year"))
     assert of(catalog.QUERIES[name](spark, DIR).select("x", "y", "year")) == of(cells)
+
+
+def test_sink_has_all_events(spark):
+    found = [json.loads(r.value)["properties"]["gid"] for r in catalog.QUERIES["sink_geojson"](spark, DIR).collect()]
+    assert sorted(found) == sorted(r[0] for r in spark.read.parquet(f"{DIR}/events.parquet").select("event_id").collect())
+
+
+def test_mask_has_all_times(spark):
+    assert catalog.QUERIES["mask_cascade_all"](spark, DIR).count() == spark.read.parquet(f"{DIR}/lineitem.parquet").count()
