@@ -62,6 +62,17 @@ def test_archive_sees_damage(spark):
         warc.listed(records, payloads.withColumn("payload", F.lit(b"other"))).collect()
 
 
+def test_archive_query_rebuilds_records(spark, monkeypatch):
+    records, payloads = warc.archive(spark.createDataFrame(pages(), PAGE))
+    monkeypatch.setattr(warc, "table", lambda *_: None)
+    monkeypatch.setattr(warc, "archive", lambda _: (records, payloads))
+    assert sorted(map(repr, warc.op2_warc(spark, "").collect())) == sorted(map(repr, warc.listed(records, payloads).collect()))
+    longer = F.encode(F.regexp_replace(F.decode("head", "utf-8"), "Content-Length: ", "Content-Length: 1"), "utf-8")
+    monkeypatch.setattr(warc, "archive", lambda _: (records.withColumn("head", longer), payloads))
+    with pytest.raises(PySparkException, match="differs from its Content-Length"):
+        warc.op2_warc(spark, "").collect()
+
+
 def test_archive_of_nothing(spark):
     assert warc.listed(*warc.archive(spark.createDataFrame([], PAGE))).count() == 0
 
