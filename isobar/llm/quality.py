@@ -29,8 +29,9 @@ from isobar.llm.base import bounded_batches, slices, table
 DIM = 1 << 18
 SAMPLE = 20_000
 GRADES = 3
-#: Texts of the sample that a feature must be in: rarer words tell only of those texts.
-LEAST_TEXTS = 10
+#: Texts that a feature must be in, one in so many of the sample and two at least: rarer words tell only of those texts.
+TEXTS_FOR_ONE = 2000
+LEAST_TEXTS = 2
 KEEP = 0.5
 ROUNDS, RATE, DECAY = 300, 0.05, 3e-3
 #: Runs of marks, which are words too.
@@ -87,7 +88,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray) -> Ordinal:
         return Ordinal(np.zeros(DIM, np.float32), np.full(GRADES - 1, -35.0))
     flat, ends = np.concatenate(places), np.cumsum([len(p) for p in places])
     starts = ends - [len(p) for p in places]
-    seen = np.bincount(flat, minlength=DIM) >= LEAST_TEXTS
+    seen = np.bincount(flat, minlength=DIM) >= max(LEAST_TEXTS, len(places) // TEXTS_FOR_ONE)
     of = np.repeat(np.arange(len(places)), ends - starts)
     use = seen[flat]
     flat, of = flat[use], of[use]

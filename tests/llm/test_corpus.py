@@ -242,6 +242,15 @@ def test_quality_on_held_out(spark):
     assert np.mean(right) > 0.95
 
 
+def test_quality_learns_rare_words_of_small_samples():
+    plain = [f"some usual words number w{k} here" for k in range(84)]
+    toxic = [f"some usual words number w{k} here scum" for k in range(84, 87)]
+    model = quality.fit([quality.features(x) for x in plain + toxic], np.array([2] * 84 + [0] * 3))
+    score = model.score([quality.features(x) for x in ("some usual words number w1 here", "some usual words number w1 here scum")])
+    with_word, without = score[1], score[0]
+    assert with_word < without - 0.5
+
+
 def test_quality_edges(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 1, 0), (3, None, 1), (4, 0, None), (999, 1, 0), (8, 0, 0), (13, 1, 0)], "doc_id long, quality int, toxic int")
     assert sorted((r.doc_id, r.grade) for r in quality.grades(labels).collect()) == [(1, 1), (8, 1), (13, 2), (999, 2)]
