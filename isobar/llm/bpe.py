@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding [operator 4].
 
 Method: per word, a contiguous array of part boundaries beside the ranks of adjacent parts; the smallest rank is
-found by a scan, its boundary goes, and the ranks of its neighbours are looked up again. Words are cached, so each
-distinct word is merged once per worker. Words of more than LONG bytes take a heap instead of the scan, with the
+found by a scan, its boundary goes, and the ranks of its neighbours are looked up again. Words are cached across tasks, so a
+worker merges a word again only after its cache, bounded by bytes, has lost it. Words of more than LONG bytes take a heap instead of the scan, with the
 same result, so that a long run without spaces stays near linear.
 
 Null and empty texts have no ids and decode to the empty text. Rows are independent: repeated rows give repeated
@@ -14,7 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -30,7 +30,8 @@ from isobar.llm.base import bounded_batches, slices, table
 #: Fixed value: the split of byte-level BPE into words. White space is Unicode's, as in the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG = 200
-CACHED = 60_000
+#: Bytes that the ids of words, and those of pieces after a space, may hold in a worker, twice; those of an entry besides its text and ids.
+CACHED_WORDS, CACHED_PIECES, ENTRY = 24 << 20, 96 << 20, 150
 NONE = 1 << 30
 #: A space that white space or the end follows.
 DOUBLE = re.compile(r" (?=\s|\Z)")
@@ -43,25 +44,37 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class Cache:
-    """Values by text in two generations: when the new one is full it becomes the old one, and what is still used moves up."""
+class Cache(dict):
+    """Ids by text, across batches and tasks. At a bound on bytes all become old ones; what is still used comes back."""
 
     def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def missing(self, texts: set[str]) -> list[str]:
-        """Texts without a value. Until the next call, new holds the others."""
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        out = []
-        for x in texts.difference(self.new):
-            value = self.old.get(x)
-            if value is None:
+        super().__init__()
+        self.most, self.held, self.old = most, 0, {}
+
+    def learn(self, values: Iterable[tuple[str, bytes]]) -> None:
+        found = dict(values)
+        self.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
+
+    def missing(self, texts: Iterable[str]) -> list[str]:
+        """Those of texts, none of them here, that aren't among the old ones either."""
+        old, out, back = self.old, [], []
+        for x in texts:
+            ids = old.get(x)
+            if ids is None:
                 out.append(x)
             else:
-                self.new[x] = value
+                back.append((x, ids))
+        self.learn(back)
         return out
 
+    def trimmed(self) -> None:
+        """Called between batches, so that what a batch has learnt stays until its end."""
+        if self.held > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+
 
 class Bpe:
     def __init__(self, path: str):
@@ -82,7 +95,7 @@ class Bpe:
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.words, self.spaced = Cache(CACHED), Cache(CACHED)
+        self.words, self.spaced = Cache(CACHED_WORDS), Cache(CACHED_PIECES)
         self.keys = np.sort(np.array([a << 20 | b for a, b in self.pairs], np.int64))
         found = [self.pairs[int(x) >> 20, int(x) & 0xFFFFF] for x in self.keys]
         self.ranks = np.array([x[0] for x in found], np.int32)
@@ -166,16 +179,33 @@ class Bpe:
             r = each[k > 0]
             ranks[r, k[r] - 1] = self.rank(ids[r, k[r] - 1], ids[r, k[r]])
 
-    def learn_words(self, words: set[str]) -> None:
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for x in self.words.missing(words):
+    def merged_ids(self, words: Iterable[tuple[str, str]]) -> Iterator[tuple[str, bytes]]:
+        """(name, ids as int32 bytes) of each (name, word)."""
+        by_length: dict[int, tuple[list[str], list[bytes]]] = {}
+        for name, x in words:
             raw = x.encode()
-            by_length.setdefault(len(raw), []).append((x, raw))
-        for n, found in by_length.items():
-            if n > 40 or len(found) < 8:
-                self.words.new.update((x, np.array(self.merge(raw), np.int32).tobytes()) for x, raw in found)
+            names, raws = by_length.setdefault(len(raw), ([], []))
+            names.append(name)
+            raws.append(raw)
+        for n, (names, raws) in by_length.items():
+            if n > 40 or len(raws) < 8:
+                yield from zip(names, (np.array(self.merge(raw), np.int32).tobytes() for raw in raws), strict=True)
             else:
-                self.words.new.update(zip([x for x, _ in found], self.merge_block([raw for _, raw in found]), strict=True))
+                yield from zip(names, self.merge_block(raws), strict=True)
+
+    def learn_words(self, words: set[str]) -> None:
+        self.words.learn(self.merged_ids((x, x) for x in self.words.missing(words.difference(self.words))))
+
+    def learn_pieces(self, pieces: set[str]) -> None:
+        """Pieces that a space stands before. One of letters alone is one word with its space, and needs no split."""
+        new = self.spaced.missing(pieces)
+        plain = [x for x in new if x.isalpha()]
+        other = [x for x in new if not x.isalpha()]
+        split = [self.split.findall(" " + x) for x in other]
+        self.learn_words(set(chain.from_iterable(split)))
+        word = self.words.__getitem__
+        self.spaced.learn(self.merged_ids((x, " " + x) for x in plain))
+        self.spaced.learn((x, b"".join(map(word, s))) for x, s in zip(other, split, strict=True))
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text.
@@ -183,6 +213,10 @@ class Bpe:
         A word always begins at a space that non-space follows. Where every space is of that kind, a text is split at its
         spaces, and each piece has ids of its own; other texts are split by the pattern at once.
         """
+        self.words.trimmed()
+        self.spaced.trimmed()
+        for content, i in self.added.items():
+            self.words[content] = np.int32(i).tobytes()
         plans: list[list[tuple[bool, list[str]]]] = []  # per text its parts: pieces after a space, or words
         for text in texts:
             plan, at = [], 0
@@ -198,15 +232,20 @@ class Bpe:
                     plan.append((False, [m[0]]))
                     at = m.end()
             plans.append(plan)
-        spaced = self.spaced.missing(set(chain.from_iterable(x for plan in plans for own, x in plan if own)))
-        split = [self.split.findall(" " + x) for x in spaced]
-        self.learn_words(set(chain(chain.from_iterable(split), chain.from_iterable(x for plan in plans for own, x in plan if not own))))
-        word, piece = self.words.new, self.spaced.new
-        for content, i in self.added.items():
-            word[content] = np.int32(i).tobytes()
-        piece.update((x, b"".join(map(word.__getitem__, s))) for x, s in zip(spaced, split, strict=True))
-        get = {True: piece.__getitem__, False: word.__getitem__}
-        return [np.frombuffer(b"".join(chain.from_iterable(map(get[own], x) for own, x in plan)), np.int32) for plan in plans]
+        get = {True: self.spaced.get, False: self.words.get}
+        found = [[[*map(get[own], x)] for own, x in plan] for plan in plans]
+        new: dict[bool, set[str]] = {True: set(), False: set()}
+        short = []  # parts that lack ids of some of theirs
+        for plan, ids in zip(plans, found, strict=True):
+            for k, (own, x) in enumerate(plan):
+                if None in ids[k]:
+                    new[own].update(w for w, v in zip(x, ids[k], strict=True) if v is None)
+                    short.append((own, x, ids, k))
+        self.learn_words(new[False])
+        self.learn_pieces(new[True])
+        for own, x, ids, k in short:
+            ids[k] = [v if v is not None else get[own](w) for w, v in zip(x, ids[k], strict=True)]
+        return [np.frombuffer(b"".join(chain.from_iterable(ids)), np.int32) for ids in found]
 
     def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of lists of ids that stand one after the other. Unknown ids are nothing; bytes that aren't UTF-8 become U+FFFD."""

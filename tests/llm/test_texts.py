@@ -50,10 +50,20 @@ def test_bpe_long_words_as_short_ones(own):
         assert own.merge_long([*start]) == own.merge(word)
 
 
-def test_bpe_cache_moves_on(own):
-    cache = bpe.Cache(2)
-    cache.new.update(a=b"1", b=b"2", c=b"3")
-    assert cache.missing({"a", "d"}) == ["d"] and cache.new == {"a": b"1"}
+def test_bpe_cache_moves_on(library):
+    cache = bpe.Cache(400)
+    cache.learn([("a", b"1"), ("b", b"2"), ("c", b"3")])
+    cache.trimmed()
+    assert not cache and cache.missing(["a", "d"]) == ["d"] and cache == {"a": b"1"}
+    for _ in range(3):
+        cache.learn((str(k), b"1234") for k in range(10))
+        cache.trimmed()
+    assert cache.held <= 400 and len(cache.old) == 10
+    small = bpe.Bpe(bpe.default_vocabulary())
+    small.words, small.spaced = bpe.Cache(300), bpe.Cache(300)
+    texts = [" ".join(f"{w}{k % 7}{e}" for k, w in enumerate("the cat sat on a mat and ǅ º ª ሀ slept".split())) for e in ("", ".", ",\nThe", "ñ")] * 2
+    for text in texts:  # every batch empties the caches
+        assert small.encode_many([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_bpe_query(docs, no_docs, library):
