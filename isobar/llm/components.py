@@ -13,7 +13,7 @@ def signature(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for each id in links (a, b); component is the smallest id reachable.
+    """(id, component) for each id in links (a, b); component is the smallest id reachable. Ids may be structs.
 
     Edges point from larger to smaller ids. The large star joins each node's larger neighbours to its least neighbour, the
     small star its smaller ones; the edges end as stars around the least ids. Only edges move, never whole components.

@@ -96,7 +96,43 @@ def test_intersections_in_parts(monkeypatch):
     for hits in (1, 2, 3, 7, 50, 1 << 20):
         monkeypatch.setattr(minhash, "HITS", hits)
         assert [x.tolist() for x in minhash.shared(sets, sets)] == want
-    assert minhash.long(minhash.short(sets[2])).tolist() == sets[2].tolist()
+
+
+def brute_rows(rows, k):
+    """(id, text) to (least id of its group, whether the group keeps it): each text of an id is a document, a null id the largest."""
+    sets = {}
+    for i, t, *_ in rows:
+        w = words((t or "").translate(LOWER))
+        sets[(i is None, i or 0, t or "")] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    label = {x: x[:2] for x in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return {(None if x[0] else x[1], x[2]): label[x] for x in sets}, label
+
+
+def two_texts():
+    """Ids with several texts, some of which others copy; null ids with copies; repeated rows."""
+    x, y, z = prose(90, 80), prose(91, 80), prose(92, 80)
+    near = " ".join(["other", *x.split(" ")[1:]])
+    own = prose(93, 60)
+    rows = [(2, x), (5, x), (5, y), (5, y), (7, near), (9, y), (9, z), (9, near), (None, z), (None, own), (None, own), (None, ""), (None, None), (4, ""), (4, None)]
+    return [(i, t, "en", "a") for i, t in rows]
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    want, _ = brute_rows(two_texts(), 5)
+    df = spark.createDataFrame(two_texts(), SCHEMA).repartition(3)
+    facts = minhash.near_duplicates(df, 5).collect()
+    assert len(facts) == len(two_texts())
+    names = {(r.doc_id, r.text or ""): (r.rep, r.key) for r in minhash.named(df, "doc_id", "text").collect()}
+    by_name = {(r.rep, r.key): r for r in facts}
+    for (i, t), (none, least) in want.items():
+        r = by_name[names[i, t]]
+        assert r.component_id == (None if i is None else least), (i, t)
+        assert r.kept == (i is None or r.component_id == i)
+        assert r.first == ((i is None, i or 0) == (none, least))
 
 
 def test_components(spark):
