@@ -14,8 +14,9 @@ Minimisers with over HOT different segments (a passage that a large part of all
 overfill a shard: their windows are counted one by one by a 128-bit digest instead, which deals them out evenly.
 
 Words are 64-bit numbers, so different words are taken as equal with negligible probability. Null and blank texts have no
-words, and keep the empty text. Rows that repeat a document repeat its windows. Null ids are kept. An empty table gives
-no rows. Other columns are not read.
+words, and keep the empty text. Rows that repeat a document repeat its windows; what is told of them is told once, so
+their work is linear. Only documents with windows to remove or to look at are shuffled: a bitmap of fixed size lets the
+others pass. Null ids are kept. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,14 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm.base import bounded_batches, removed, slices, table, written
+from isobar.llm.base import bounded_batches, removed, screened, slices, table, written
 from isobar.llm.shingles import mixed, numbers, words
 from isobar.llm.wavelet import Index, repeated
 
 SIZE, GRAM = 35, 8
 SHARD, HOT = 600_000, 20_000
 #: Words that are removed with a segment or searched in it: bits of what a document's pass is told.
-WHOLE, SEARCH, INDEX, WINDOWS = 1, 2, 4, 8
+#: AGAIN tells that equal rows say the same, of which one is enough.
+WHOLE, SEARCH, INDEX, WINDOWS, AGAIN = 1, 2, 4, 8, 16
+#: A kind of segment that more than one in so many segments is of is hot; there are fewer than that.
+HOT_KINDS = 1024
 
 
 def gram_numbers(of: np.ndarray) -> np.ndarray:
@@ -87,25 +91,31 @@ def segmented(rows: DataFrame) -> DataFrame:
     return rows.select("id", "key", "text").mapInArrow(run, "least long, digest long, id long, key long, first int, last int")
 
 
+def repeated_kinds(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """The segments of found whose words stand in several. Kinds that are a large part of all, few by their share, are broadcast."""
+    many = counts.where("n > 1").select("least", "digest", "n")
+    hot = F.broadcast(many.where(F.col("n") * HOT_KINDS > found.count()).drop("n"))
+    cold = found.join(hot, ["least", "digest"], "left_anti").join(many.drop("n"), ["least", "digest"], "left_semi")
+    return found.join(hot, ["least", "digest"], "left_semi").unionByName(cold)
+
+
 def told(segs: DataFrame) -> DataFrame:
     """(id, key, marks): for each document the segments that its pass has to remove, search, index or count."""
     by_least = segs.groupBy("least").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1")
     seen = written(by_least.select("least", (F.col("low") == F.col("high")).alias("same")), "minimisers")
-    found = written(segs.join(seen, "least"), "segments-seen")
-    mixed_ = found.where("not same")
-    counts = mixed_.groupBy("least", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "first")).alias("one"))
+    found = written(screened(segs, seen, ["least"]).where("__maybe").drop("__maybe").join(seen, "least"), "segments-seen")
+    mixed_ = found.where("not same").drop("same")
+    rows = mixed_.groupBy("least", "digest", "id", "key", "first").agg(F.count("*").alias("n"))  # rows that are equal count together
+    counts = rows.groupBy("least", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("id", "key", "first", F.col("n").alias("rows"))).alias("one"))
     counts = written(counts, "segment-counts")
     by_least = counts.groupBy("least").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
     facts = counts.join(by_least.where("fewest = 1"), "least").select("least", "digest", "n", "one", F.when(F.col("kinds") > HOT, WINDOWS).otherwise(INDEX).alias("how"))
-    single = facts.where("n = 1").select(F.col("one.id").alias("id"), F.col("one.key").alias("key"), F.col("one.first").alias("first"), "least", "digest", F.when(F.col("how") == WINDOWS, WINDOWS).otherwise(SEARCH + INDEX).alias("what"))
-    model = facts.where("n > 1").select(F.col("one.id").alias("id"), F.col("one.key").alias("key"), F.col("one.first").alias("first"), "least", "digest", F.col("how").alias("what"))
-    whole = found.where("same").select("id", "key", "first", "last", "least", "digest", F.lit(WHOLE).alias("what"))
-    many = counts.where("n > 1").select("least", "digest")
-    whole = whole.unionByName(mixed_.join(many, ["least", "digest"], "left_semi").select("id", "key", "first", "last", "least", "digest", F.lit(WHOLE).alias("what")))
     # a segment's first window names it within its document; its last is known to the pass over the words
-    others = single.unionByName(model).withColumn("last", F.lit(-1))
-    mark = F.struct("first", "last", "what", "least")
-    return whole.unionByName(others, allowMissingColumns=True).groupBy("id", "key").agg(F.collect_list(mark).alias("marks"))
+    what = F.when((F.col("n") > 1) | (F.col("how") == WINDOWS), F.col("how")).otherwise(SEARCH + INDEX) + F.when(F.col("one.rows") > 1, AGAIN).otherwise(0)
+    others = facts.select("one.id", "one.key", "one.first", F.lit(-1).alias("last"), "least", what.alias("what"))
+    whole = found.where("same").drop("same").unionByName(repeated_kinds(mixed_, counts))
+    whole = whole.select("id", "key", "first", "last", "least", F.lit(WHOLE).alias("what"))
+    return whole.unionByName(others).groupBy("id", "key").agg(F.collect_set(F.struct("first", "last", "what", "least")).alias("marks"))
 
 
 def covered(count: int, runs: list[tuple[int, int]]) -> np.ndarray:
@@ -149,7 +159,7 @@ def passed(rows: DataFrame, marks: DataFrame, texts: bool = False) -> DataFrame:
                     for least, a, b in zip(*(x.tolist() for x in segments(of)), strict=True):
                         if a in asked:
                             piece = {"first": a, "what": asked[a]["what"], "least": asked[a]["least"]}
-                            if asked[a]["what"] == WINDOWS:
+                            if asked[a]["what"] & WINDOWS:
                                 out += [row | piece | {"first": s, "raw": xxhash.xxh3_128_digest(of[s : s + SIZE].tobytes())} for s in range(a, b + 1)]
                             else:
                                 out.append(row | piece | {"raw": of[a : b + SIZE].tobytes()})
@@ -159,7 +169,11 @@ def passed(rows: DataFrame, marks: DataFrame, texts: bool = False) -> DataFrame:
                     out.append(row | {"n_words": len(found), "n_removed": n, "kept": text if texts else None, "kept_sha256": digest})
             yield from pa.Table.from_pylist(out, schema).to_batches()
 
-    return rows.join(marks, (rows["id"].eqNullSafe(marks["id"])) & (rows["key"] == marks["key"]), "left").select(rows["id"], rows["key"], "text", "marks").mapInArrow(run, PASS)
+    near = screened(rows, marks, ["id", "key"])
+    some = near.where("__maybe")
+    told_ = some.join(marks, (some["id"].eqNullSafe(marks["id"])) & (some["key"] == marks["key"]), "left").select(some["id"], some["key"], "text", "marks")
+    free = near.where("not __maybe").select("id", "key", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
+    return free.unionByName(told_).mapInArrow(run, PASS)
 
 
 def searched(pieces: DataFrame) -> DataFrame:
@@ -190,14 +204,17 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_words, n_removed, kept, kept_sha256) for each row; kept, the text that stays, is null unless texts are asked for."""
     rows = located(df, id_col, text_col)
     segs = written(segmented(rows), "segments")
-    marks = told(segs)
-    out = written(passed(rows, marks, texts), "pass")
+    marks = written(told(segs), "marks")
     removed(segs)
+    out = written(passed(rows, marks, texts), "pass")
+    removed(marks)
     pieces = out.where("raw is not null")
-    counted = pieces.where(F.col("what") == WINDOWS)
+    again = F.col("what").bitwiseAND(AGAIN) > 0
+    pieces = pieces.where(~again).unionByName(pieces.where(again).dropDuplicates(["id", "key", "first", "least", "what"]))
+    counted = pieces.where(F.col("what").bitwiseAND(WINDOWS) > 0)
     twice = counted.groupBy("raw").agg(F.count("*").alias("n")).where("n > 1").select("raw")
     windows = counted.join(twice, "raw", "left_semi").select("id", "key", "first", F.col("first").alias("last"))
-    runs = searched(pieces.where(F.col("what") != WINDOWS)).unionByName(windows).groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("more"))
+    runs = searched(pieces.where(F.col("what").bitwiseAND(WINDOWS) == 0)).unionByName(windows).groupBy("id", "key").agg(F.collect_set(F.struct("first", "last")).alias("more"))
     waiting = out.where("text is not null").select("id", "key", "text", "runs")
     rest = waiting.join(runs, waiting["id"].eqNullSafe(runs["id"]) & (waiting["key"] == runs["key"]), "left").select(waiting["id"], "text", "runs", "more")
 

@@ -191,6 +191,19 @@ def test_backward_search():
     r = np.random.default_rng(0)
     for _ in range(100):
         parts = [r.integers(1, r.integers(3, 9), r.integers(5, 14)) for _ in range(r.integers(2, 9))]
+@pytest.mark.parametrize("hot", [substring.HOT, 1])
+def test_substrings_of_many_equal_rows(spark, monkeypatch, hot):
+    """What equal rows are told, and what they index, doesn't grow with their number."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    text, other = prose(30, 120), f"{prose(31, 20)} {' '.join(prose(30, 120).split(' ')[30:80])} {prose(32, 20)}"
+    rows = [(1, text, "en", "a")] * 400 + [(None, text, "en", "a")] * 300 + [(2, other, "en", "a")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    marks = substring.told(substring.segmented(substring.located(df, "doc_id", "text"))).collect()
+    assert max(len(r.marks) for r in marks) < 40
+    found = substring.without_repeats(df).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == brute_windows(rows)
+
+
         symbols = np.concatenate([[*p, 0] for p in parts])
         stops = np.cumsum([len(p) + 1 for p in parts]) - 1
         got = {(d, s) for d, a, b in repeated(Index(symbols, 10), symbols, stops - [len(p) for p in parts], stops, 5) for s in range(a, b + 1)}
