@@ -8,7 +8,9 @@ The grade is 0 to 2: one point for quality 1, one for toxic 0. The model is fitt
 the labelled documents with the SAMPLE least hashes of their ids (a documented parameter). It is DIM weights, of
 fixed size, and goes to the executors. All documents are scored on whole texts.
 
-Labels with a null, or for no document, are left out; repeated labels of a document count as its worst. Null text is
+Labels with a null, or for no document, are left out; repeated labels of a document count as its worst. Of a labelled
+document's repeated rows one is fitted on, that with the least features, so the bound on the sample holds. In small
+samples a feature must be in LEAST_TEXTS texts, in large ones in one text of TEXTS_FOR_ONE, or it gets no weight. Null text is
 empty, and empty texts are scored by their shape alone. Without any label all documents are kept with a tail of 1.
 Null ids are scored and kept or dropped like others; repeated rows get equal results. Other columns are not read.
 """
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,40 +84,58 @@ class Ordinal:
         return np.array([self.weights[p].sum(dtype=np.float64) for p in places])
 
 
+def likelihood(w: np.ndarray, cuts: np.ndarray, sums: Callable[[np.ndarray], np.ndarray], back: Callable[[np.ndarray], np.ndarray], grades: np.ndarray, each: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss and its gradients by w and by cuts, the first threshold and the steps up from it.
+
+    sums gives each row's score for weights; back adds each row's number to the weights that its score is of.
+    """
+    score = sums(w)
+    edges = np.concatenate([[-np.inf], np.cumsum(cuts), [np.inf]])
+    with np.errstate(over="ignore"):
+        upper, lower = (1 / (1 + np.exp(np.clip(score - edges[grades + k], -700, 700))) for k in (1, 0))
+    likely = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper), lower * (1 - lower)
+    by_level = np.bincount(grades + 1, -each * du / likely, GRADES + 1) + np.bincount(grades, each * dl / likely, GRADES + 1)
+    loss = -(each * np.log(likely)).sum() + DECAY / 2 * (w * w).sum()
+    return loss, back(each * (du - dl) / likely) + DECAY * w, np.cumsum(by_level[1:-1][::-1])[::-1]
+
+
 def fit(places: list[np.ndarray], grades: np.ndarray) -> Ordinal:
     """Maximum likelihood with decayed weights, by Adam over all rows. Rare grades weigh as much as frequent ones' root."""
     if not len(places):
         return Ordinal(np.zeros(DIM, np.float32), np.full(GRADES - 1, -35.0))
-    flat, ends = np.concatenate(places), np.cumsum([len(p) for p in places])
-    starts = ends - [len(p) for p in places]
-    seen = np.bincount(flat, minlength=DIM) >= max(LEAST_TEXTS, len(places) // TEXTS_FOR_ONE)
-    of = np.repeat(np.arange(len(places)), ends - starts)
-    use = seen[flat]
+    flat, of = np.concatenate(places), np.repeat(np.arange(len(places), dtype=np.int32), [len(p) for p in places])
+    counts = np.bincount(flat, minlength=DIM)
+    use = (counts >= max(LEAST_TEXTS, len(places) // TEXTS_FOR_ONE))[flat]
     flat, of = flat[use], of[use]
+    used, flat = np.unique(flat, return_inverse=True)  # weights of features that are used alone
+    order = np.argsort(flat, kind="stable")
+    rows, firsts = of[order], np.flatnonzero(np.diff(flat[order], prepend=-1))
+    filled, starts = np.unique(of, return_index=True)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(places))
+        if len(filled):
+            out[filled] = np.add.reduceat(w[flat], starts)
+        return out
+
+    def back(x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[rows], firsts) if len(rows) else np.zeros(0)
+
     counts = np.bincount(grades, minlength=GRADES)
     each = (np.sqrt(counts.sum() / np.maximum(counts, 1)))[grades]
     each /= each.sum()
-    w, cuts = np.zeros(DIM), np.array([-2.0, *[2.0] * (GRADES - 2)])  # the first threshold, then the steps up from it
-    moments = [np.zeros(DIM), np.zeros(DIM), np.zeros(GRADES - 1), np.zeros(GRADES - 1)]
+    w, cuts = np.zeros(len(used)), np.array([-2.0, *[2.0] * (GRADES - 2)])
+    moments = [np.zeros(len(used)), np.zeros(len(used)), np.zeros(GRADES - 1), np.zeros(GRADES - 1)]
     for t in range(1, ROUNDS + 1):
-        score = np.bincount(of, w[flat], len(places))
-        levels = np.cumsum([cuts[0], *np.maximum(cuts[1:], 0.05)])
-        edges = np.concatenate([[-np.inf], levels, [np.inf]])
-        with np.errstate(over="ignore"):
-            upper, lower = (1 / (1 + np.exp(np.clip(score - edges[grades + k], -700, 700))) for k in (1, 0))
-        likely = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper), lower * (1 - lower)
-        by_score = each * (du - dl) / likely
-        grad = np.bincount(flat, by_score[of], DIM) + DECAY * w
-        by_level = np.zeros(GRADES + 1)
-        np.add.at(by_level, grades + 1, -each * du / likely)
-        np.add.at(by_level, grades, each * dl / likely)
-        grad_cuts = np.cumsum(by_level[1:-1][::-1])[::-1]
+        _, grad, grad_cuts = likelihood(w, np.array([cuts[0], *np.maximum(cuts[1:], 0.05)]), sums, back, grades, each)
         for x, g, m, v in ((w, grad, 0, 1), (cuts, grad_cuts, 2, 3)):
             moments[m] = 0.9 * moments[m] + 0.1 * g
             moments[v] = 0.99 * moments[v] + 0.01 * g * g
             x -= RATE * (moments[m] / (1 - 0.9**t)) / (np.sqrt(moments[v] / (1 - 0.99**t)) + 1e-12 + 1e-7)
-    return Ordinal(w.astype(np.float32), np.cumsum([cuts[0], *np.maximum(cuts[1:], 0.05)]))
+    weights = np.zeros(DIM, np.float32)
+    weights[used] = w
+    return Ordinal(weights, np.cumsum([cuts[0], *np.maximum(cuts[1:], 0.05)]))
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -132,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(x.as_py()).astype(np.int32).tobytes() for x in batch.column(2)], pa.binary())], names=["doc_id", "grade", "places"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
-    found = rows.mapInArrow(run, "doc_id long, grade int, places binary").toArrow().sort_by([("doc_id", "ascending"), ("places", "ascending")])
+    each = rows.mapInArrow(run, "doc_id long, grade int, places binary").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("places").alias("places"))
+    found = each.toArrow().sort_by("doc_id")  # at most a row for each id of the sample
     return fit([np.frombuffer(x.as_py(), np.int32) for x in found.column("places")], found.column("grade").to_numpy())
 
 

@@ -308,6 +308,72 @@ def test_quality_edges(spark, docs, no_docs):
     none = quality.select(docs, labels.limit(0))
     assert none.count() == len(documents())
     assert quality.select(no_docs, labels).count() == 0
+def plain_loss(weights, thresholds, places, grades, each):
+    """Cumulative-link likelihood, row by row."""
+    out = quality.DECAY / 2 * sum(float(w) ** 2 for w in weights)
+    edges = [-np.inf, *thresholds, np.inf]
+    for p, g, e in zip(places, grades, each, strict=True):
+        s = sum(float(weights[k]) for k in p)
+        out -= e * np.log(1 / (1 + np.exp(s - edges[g + 1])) - 1 / (1 + np.exp(s - edges[g])))
+    return out
+
+
+def test_quality_likelihood_and_gradient():
+    r = np.random.default_rng(6)
+    places = [np.unique(r.integers(0, 9, r.integers(1, 6))) for _ in range(30)]
+    grades, each = r.integers(0, 3, 30), r.random(30)
+    w, cuts = r.normal(size=9), np.array([-0.7, 1.3])
+    sums = lambda x: np.array([x[p].sum() for p in places])
+    back = lambda x: np.bincount(np.concatenate(places), np.repeat(x, [len(p) for p in places]), 9)
+    loss, by_w, by_cuts = quality.likelihood(w, cuts, sums, back, grades, each)
+    plain = lambda w, cuts: plain_loss(w, np.cumsum(cuts), places, grades, each)
+    assert loss == pytest.approx(plain(w, cuts))
+    step = 1e-6
+    for k in range(9):
+        d = np.eye(9)[k] * step
+        assert by_w[k] == pytest.approx((plain(w + d, cuts) - plain(w - d, cuts)) / (2 * step), abs=1e-5)
+    for k in range(2):
+        d = np.eye(2)[k] * step
+        assert by_cuts[k] == pytest.approx((plain(w, cuts + d) - plain(w, cuts - d)) / (2 * step), abs=1e-5)
+
+
+def test_quality_fit_finds_a_minimum():
+    texts = [quality.features(f"{prose(k, 30)} {'vile scum' if k % 5 == 0 else 'kind word'}") for k in range(120)]
+    grades = np.array([0 if k % 5 == 0 else 1 + k % 2 for k in range(120)])
+    model = quality.fit(texts, grades)
+    counts = np.bincount(grades)
+    each = np.sqrt(counts.sum() / counts)[grades]
+    each /= each.sum()
+    seen = np.bincount(np.concatenate(texts), minlength=quality.DIM) >= quality.LEAST_TEXTS
+    used = np.flatnonzero(seen)
+    small = [np.searchsorted(used, p[seen[p]]) for p in texts]
+    best = plain_loss(model.weights[used], model.thresholds, small, grades, each)
+    assert not model.weights[~seen].any() and best < plain_loss(np.zeros(len(used)), model.thresholds, small, grades, each)
+    r = np.random.default_rng(0)
+    for _ in range(20):
+        nudged = model.weights[used] + r.normal(size=len(used)) * 0.02
+        assert plain_loss(nudged, model.thresholds, small, grades, each) > best
+
+
+def test_quality_scores_are_plain_sums(spark):
+    docs, labels = rated_corpus(spark)
+    model = quality.train(docs, labels, 60)
+    for r in quality.rate(docs.where("doc_id < 25"), model).collect():
+        s = sum(float(model.weights[k]) for k in set(quality.features(r.text).tolist()))
+        above = [1 / (1 + np.exp(t - s)) for t in model.thresholds]
+        assert r["__expected"] == pytest.approx(sum(above), abs=2e-6) and r["__tail"] == pytest.approx(above[-1], abs=1e-6)
+
+
+def test_quality_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    rows = [(1, prose(k % 3, 40), "en", "a") for k in range(300)] + [(k, prose(k, 40), "en", "a") for k in range(2, 12)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 12)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda places, grades: seen.append((len(places), len(grades))))
+    quality.train(spark.createDataFrame(rows, SCHEMA).repartition(4), labels, 8)
+    quality.train(spark.createDataFrame(rows, SCHEMA).repartition(4), labels)
+    assert seen == [(8, 8), (11, 11)]
+
+
 
 
 def test_quality_fit_is_repeatable(spark):
