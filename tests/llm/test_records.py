@@ -91,7 +91,7 @@ def test_chat(spark):
     df = spark.createDataFrame([(*r, "extra", "extra") for r in talks()], "conv_id long, turn long, role string, text string, leaf string, pack string").repartition(4)
     convs = chat.conversations(df)
     packs = chat.packs(convs)
-    read = convs.select("conv_id", "leaf").join(packs.select("text", "nodes", "leaves").mapInPandas(chat.read_pack, chat.READ), "leaf")
+    read = convs.select("conv_id", "leaf").join(packs.select("text", "nodes", "leaves").mapInArrow(chat.read_pack, chat.READ), "leaf")
     by = defaultdict(list)
     for c, turn, role, text in talks():
         by[c].append(((turn is not None, turn or 0), (role or ""), (text or "")))
@@ -130,6 +130,37 @@ def brute_top(rows, ids, queries_, k):
 
 
 @pytest.mark.parametrize(("scale", "block", "rows"), [(1.0, 256, 8192), (1.0, 16, 60), (1e5, 256, 8192), (1e15, 256, 8192)])
+def trie_size(convs):
+    """Characters of the formatted turns, each shared beginning once."""
+    seen = {tuple(turns[: k + 1]) for turns in convs for k in range(len(turns))}
+    return sum(len(chat.formatted(*x[-1])[0]) for x in seen)
+
+
+@pytest.mark.parametrize("pack", [200, 3000, 1 << 20])
+def test_chat_shares_tokens_of_a_hot_root(spark, monkeypatch, pack):
+    """Whatever share of all conversations one first turn holds, a pack repeats no more than the path that its cut goes through."""
+    convs = [[("system", "You help."), ("user", f"q{c % 4}"), ("assistant", f"a{c % 20}" * (c % 3)), ("user", f"u{c}"), ("assistant", "ok")] for c in range(400)]
+    convs += [x[:n] for x in convs[:40] for n in (1, 2, 3)]
+    rows = [(c, k, r, t) for c, x in enumerate(convs) for k, (r, t) in enumerate(x)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    monkeypatch.setattr(chat, "PACK", pack)
+    found = chat.packs(chat.conversations(df)).collect()
+    path = max(sum(len(chat.formatted(*t)[0]) for t in x) for x in convs)
+    total = sum(len(p.text) for p in found)
+    assert trie_size(convs) <= total <= trie_size(convs) + (len(found) - 1) * path
+    assert all(len(p.text) < pack + path for p in found)
+    assert len({x.leaf for p in found for x in p.leaves}) == sum(len(p.leaves) for p in found) == len({tuple(x) for x in convs})
+    for p in found:  # a shared beginning stands once in its pack
+        assert len(p.nodes) == len({"".join(p.text[a.start : a.stop] for a in n.attends) for n in p.nodes})
+
+
+def test_chat_rows_without_an_id(spark):
+    rows = [(None, k, "user", f"t{k % 3}") for k in range(50)]
+    convs = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted(len(r.turns) for r in convs.collect()) == [1] * 50
+    assert sum(len(p.leaves) for p in chat.packs(convs).collect()) == 3
+
+
 def test_top_k(spark, monkeypatch, scale, block, rows):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "SLICE_ROWS", rows)
