@@ -9,9 +9,12 @@ revisits that refer to it; smaller payloads are all responses. Null html is an e
 empty target. A null page id counts as larger than any other, and a revisit of such rows alone refers to null. Rows
 that repeat the smallest id are all responses. An empty table gives empty archives. Other columns are not read.
 
-Only ids and digests meet in the choice of responses, counted by digest first, so copies that are a large part of all
-pages combine before the shuffle; its join goes by digest and salt. The payload joins are sort-merge joins of plain
-exchanges, which adaptive execution splits where a digest is hot.
+Pages that were fetched at no known time are dated by UNDATED; archive() takes a column of dates. Records that share a page
+id, or have none, share a record id. A record whose payload is lost or damaged raises an error when it is read.
+
+Pages are digested once for headers and once for payloads. Only ids and digests meet in the choice of responses, counted
+by digest first, so copies that are a large part of all pages combine before the shuffle; its join goes by digest and salt.
+The payload joins are sort-merge joins of plain exchanges, which adaptive execution splits where a digest is hot.
 """
 
 from __future__ import annotations
@@ -19,15 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm.base import table, written
+from isobar.llm.base import removed, table, written
 
 FULL = 100
 SALTS = 16
 #: The lines of a record's header, in order.
 CRLF = "\r\n"
+#: Date of records without one.
+UNDATED = "1970-01-01T00:00:00Z"
 
 
-def header(kind: Column, page_id: Column, url: Column, digest: Column, refers: Column, size: Column) -> Column:
+def header(kind: Column, page_id: Column, url: Column, digest: Column, refers: Column, size: Column, date: Column) -> Column:
     """Header text of a WARC/1.1 record. Line ends in a URL are escaped, so each field stays one line."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     ident = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("null")), F.lit(">"))
@@ -36,6 +41,7 @@ def header(kind: Column, page_id: Column, url: Column, digest: Column, refers: C
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", kind),
         line("WARC-Record-ID", ident(page_id)),
+        line("WARC-Date", date),
         line("WARC-Target-URI", target),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
         F.when(kind == "revisit", F.concat(line("WARC-Refers-To", ident(refers)), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
@@ -45,19 +51,21 @@ def header(kind: Column, page_id: Column, url: Column, digest: Column, refers: C
     )
 
 
-def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, payloads), written in the shared folder. payload: bytes, html in UTF-8 by default."""
+def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload: Column | None = None, date: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, payloads), written in the shared folder. payload: bytes, html in UTF-8 by default; date: text in UTC."""
     body = F.coalesce(F.encode("html", "utf-8") if payload is None else payload, F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
+    dated = F.coalesce(F.lit(None).cast("string") if date is None else date, F.lit(UNDATED))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), dated.alias("date"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    heads = rows.select("page_id", "url", "digest", F.length("payload").cast("long").alias("size"))
+    heads = written(rows.select("page_id", "url", "date", "digest", F.length("payload").cast("long").alias("size")), "warc-heads")
     firsts = heads.where(F.col("size") >= FULL).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = firsts.select("digest", F.col("first"), F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
     found = heads.withColumn("salt", salt).join(firsts.withColumn("copied", F.lit(True)), ["digest", "salt"], "left")
     kind = F.when(F.col("copied") & ~F.col("page_id").eqNullSafe(F.col("first")), "revisit").otherwise("response")
-    text = header(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("first"), F.col("size"))
+    text = header(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("first"), F.col("size"), F.col("date"))
     records = written(found.select("digest", F.encode(text, "utf-8").alias("head")), "warc-records")
+    removed(heads)
     payloads = written(rows.select("digest", "payload").groupBy("digest").agg(F.first("payload").alias("payload")), "warc-payloads")
     return records, payloads
 
@@ -69,9 +77,15 @@ def checked(payloads: DataFrame) -> DataFrame:
     return payloads.select("digest", "payload", F.when(found == F.col("digest"), found).otherwise(fault).alias("found"))
 
 
+def present(value_: Column) -> Column:
+    """A value of a joined payload, which every record must have."""
+    fault = F.raise_error(F.concat(F.lit("no payload is stored under the digest "), F.col("digest")))
+    return F.when(F.col("found").isNotNull(), value_).otherwise(fault)
+
+
 def rebuilt(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """(record, head, payload): the bytes of each original record, its header's text and its full payload."""
-    joined = records.join(checked(payloads), "digest").where(F.col("found").isNotNull())
+    joined = records.join(checked(payloads), "digest", "left").withColumn("payload", present(F.col("payload")))
     head = F.decode("head", "utf-8")
     block = F.when(head.rlike(r"(?md)^WARC-Type: revisit\r$"), F.lit(b"")).otherwise(F.col("payload"))
     return joined.select(F.concat("head", block, F.lit(b"\r\n\r\n")).alias("record"), head.alias("head"), "payload")
@@ -104,7 +118,8 @@ def listed(records: DataFrame, payloads: DataFrame) -> DataFrame:
     facts = checked(payloads).select("digest", F.length("payload").cast("long").alias("payload_bytes"), F.col("found").alias("payload_digest"))
     heads = records.select(F.decode("head", "utf-8").alias("head")).withColumn("digest", value("WARC-Payload-Digest", "sha256:([0-9a-f]*)"))
     parsed = heads.select("digest", value("WARC-Record-ID", "<urn:page:([^>]*)>").alias("own"), value("WARC-Type").alias("record_type"), value("WARC-Refers-To", "<urn:page:([^>]*)>").alias("to"))
-    return parsed.join(facts, "digest").select(number("own").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("to").alias("refers_to"))
+    joined = parsed.join(facts.withColumnRenamed("payload_digest", "found"), "digest", "left")
+    return joined.select(number("own").alias("page_id"), present(F.col("payload_bytes")).alias("payload_bytes"), F.col("found").alias("payload_digest"), "record_type", number("to").alias("refers_to"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

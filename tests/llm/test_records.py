@@ -62,6 +62,21 @@ def test_archive_sees_damage(spark):
         warc.listed(records, payloads.withColumn("payload", F.lit(b"other"))).collect()
 
 
+def test_archive_sees_lost_payloads(spark):
+    records, payloads = warc.archive(spark.createDataFrame(pages(), PAGE))
+    lost = payloads.where(F.length("payload") != 5)
+    for read in (warc.listed, warc.rebuilt):
+        with pytest.raises(PySparkException, match="no payload is stored under the digest"):
+            read(records, lost).collect()
+
+
+def test_archive_dates_records(spark):
+    records, _ = warc.archive(spark.createDataFrame(pages(), PAGE))
+    assert all(b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in bytes(r.head) for r in records.collect())
+    records, _ = warc.archive(spark.createDataFrame(pages(), PAGE), date=F.concat(F.lit("2024-02-03T04:05:0"), F.coalesce("size", F.lit(0)).cast("string"), F.lit("Z")))
+    assert {bytes(r.head).split(b"WARC-Date: ")[1][:20] for r in records.collect()} == {b"2024-02-03T04:05:00Z", b"2024-02-03T04:05:01Z"}
+
+
 def test_archive_query_rebuilds_records(spark, monkeypatch):
     records, payloads = warc.archive(spark.createDataFrame(pages(), PAGE))
     monkeypatch.setattr(warc, "table", lambda *_: None)
@@ -115,21 +130,6 @@ def test_chat(spark):
     assert shared < sum(v[4] for v in want.values())
 
 
-def test_chat_of_nothing(spark):
-    assert chat.packs(chat.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
-
-
-def brute_top(rows, ids, queries_, k):
-    whole = lambda v: [int(np.floor(1024 * float(x))) for x in v]
-    good = [(i, whole(v)) for i, v in zip(ids, rows, strict=True) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = []
-    for q, v in dict((i, v) for i, v in good if i in queries_).items():
-        scored = [(-max(topk.LEAST, min(topk.MOST, sum(a * b for a, b in zip(v, w, strict=False)))), i is None, i or 0) for i, w in good if i != q]
-        out += [(q, n, None if none else i, -s) for n, (s, none, i) in enumerate(sorted(scored)[:k], 1)]
-    return sorted(map(repr, out))
-
-
-@pytest.mark.parametrize(("scale", "block", "rows"), [(1.0, 256, 8192), (1.0, 16, 60), (1e5, 256, 8192), (1e15, 256, 8192)])
 def trie_size(convs):
     """Characters of the formatted turns, each shared beginning once."""
     seen = {tuple(turns[: k + 1]) for turns in convs for k in range(len(turns))}
@@ -161,6 +161,21 @@ def test_chat_rows_without_an_id(spark):
     assert sum(len(p.leaves) for p in chat.packs(convs).collect()) == 3
 
 
+def test_chat_of_nothing(spark):
+    assert chat.packs(chat.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def brute_top(rows, ids, queries_, k):
+    whole = lambda v: [int(np.floor(1024 * float(x))) for x in v]
+    good = [(i, whole(v)) for i, v in zip(ids, rows, strict=True) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for q, v in dict((i, v) for i, v in good if i in queries_).items():
+        scored = [(-max(topk.LEAST, min(topk.MOST, sum(a * b for a, b in zip(v, w, strict=False)))), i is None, i or 0) for i, w in good if i != q]
+        out += [(q, n, None if none else i, -s) for n, (s, none, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize(("scale", "block", "rows"), [(1.0, 256, 8192), (1.0, 16, 60), (1e5, 256, 8192), (1e15, 256, 8192)])
 def test_top_k(spark, monkeypatch, scale, block, rows):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "SLICE_ROWS", rows)
