@@ -63,9 +63,14 @@ def screened(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); removed when the application ends."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir); removed when the application ends.
+
+    Without that setting a local session takes a temporary folder; a cluster, whose executors don't share one, an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="isobar-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/isobar-{name}-{uuid.uuid4().hex}"
