@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,39 +78,54 @@ def daily_percentile(f: Field, v: str, percentile: float, window_width: int, onl
     return out.groupBy(*keys).agg(F.percentile(v, F.lit(percentile / 100)).alias("value"))
 
 
-def cycles(x: np.ndarray, threshold: float) -> float:
-    """Freeze and thaw events of a series of degrees above freezing: from each crossing of zero degree-days are summed, and an event
-    counts once the sum reaches the threshold with the other sign than the last event's."""
-    x = np.concatenate([[0.0], x])
-    total, above = np.cumsum(x), x >= 0
-    events, last, sign = 0, 0, 0.0
-    for start in [0, *np.flatnonzero(above[1:] != above[:-1])]:
-        if start < last:
-            continue
-        since = total[start:] - total[start]
-        reached = np.flatnonzero(np.abs(since) >= threshold)
-        if len(reached) and np.sign(since[reached[0]]) != sign:
-            sign = np.sign(since[reached[0]])
-            last = start + int(reached[0])
-            events += 1
-    return float(events - 1)
+def thaws(series: Column, threshold: float) -> Column:
+    """Times that a series of degrees above freezing, an array in order of time, changes between frozen and thawed ground.
+
+    Degree-days are summed from every change of sign on, and from the start. A sum is done when it first reaches the threshold,
+    above or below; its sign is then the ground's state, if the sums begun before it are done and it began after the last change.
+    The first state is no change, so a series that reaches none has -1. One pass keeps the sums that wait, oldest first.
+    """
+    waits = lambda begun: F.struct(begun.alias("begun"), F.lit(0.0).alias("sum"), F.lit(0).alias("done"), F.lit(0).alias("sign"))
+
+    def settled(state: Column, last: bool) -> Column:
+        """The state after the sums that are done; at the last, those that aren't done never will be."""
+
+        def one(s: Column, x: Column) -> Column:
+            change = (x.done > 0) & (x.sign != s.side) & (x.begun >= s.since)
+            waiting = F.lit(False) if last else (F.size(s.open) > 0) | ((x.done == 0) & (x.begun >= s.since))
+            now = lambda name, value: F.when(~waiting & change, value).otherwise(s[name]).alias(name)
+            return F.struct(s.n.alias("n"), s.above.alias("above"), now("side", x.sign), now("since", x.done), now("changes", s.changes + 1), F.when(waiting, F.concat(s.open, F.array(x))).otherwise(s.open).alias("open"))
+
+        none = F.filter(state.open, lambda _: F.lit(False)).alias("open")
+        start = F.struct(*(state[x].alias(x) for x in ("n", "above", "side", "since", "changes")), none)
+        return F.aggregate(state.open, start, one)
+
+    def step(s: Column, v: Column) -> Column:
+        begun = F.when((v >= 0) != s.above, F.concat(s.open, F.array(waits(s.n)))).otherwise(s.open)
+
+        def moved(x: Column) -> Column:
+            total = x["sum"] + v
+            there = F.abs(total) >= threshold
+            grown = F.struct(x.begun.alias("begun"), total.alias("sum"), F.when(there, s.n + 1).otherwise(0).alias("done"), F.when(there, F.signum(total).cast("int")).otherwise(0).alias("sign"))
+            return F.when(x.done > 0, x).otherwise(grown)
+
+        state = F.struct((s.n + 1).alias("n"), (v >= 0).alias("above"), s.side.alias("side"), s.since.alias("since"), s.changes.alias("changes"), F.transform(begun, moved).alias("open"))
+        return settled(state, False)
+
+    first = F.struct(F.lit(0).alias("n"), F.lit(True).alias("above"), F.lit(0).alias("side"), F.lit(0).alias("since"), F.lit(-1).alias("changes"), F.array(waits(F.lit(0))).alias("open"))
+    return F.aggregate(series, first, step, lambda s: settled(s, True).changes.cast("double"))
 
 
 def freezethaw(f: Field, v: str, grouping: Grouping, threshold: float = 15.0) -> DataFrame:
-    """(group's keys, value): a scan with state over each cell's series in a group, outside SQL."""
+    """(group's keys, value): a fold over each cell's series in a group."""
     keys = group_keys(f, grouping)
     units = f.units.get(v)
     if not U.convertible(units, "K"):
         raise UnitsError("freezethaw: temperatures have to be in K or C")
     t = f.dims.column("time")
     rows = keyed(f.df, f.axis("time"), grouping).select(*keys, F.col(t).alias("__time"), U.convert(F.col(v).cast("double"), units, "C").alias("__value"))
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.select(*keys).schema)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("__time")["__value"].dropna().to_numpy()
-        return pdf[keys].head(1).assign(value=cycles(values, threshold) if len(values) else None).astype({"value": float})
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{schema}, value double")
+    series = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("__value").isNotNull(), F.struct("__time", "__value")))), lambda x: x["__value"]).alias("__series"))
+    return series.select(*keys, F.when(F.size("__series") > 0, thaws(F.col("__series"), float(threshold))).alias("value"))
 
 
 def frame(f: Field, calc: dict, v: str, grouping: Grouping | None) -> DataFrame:

@@ -182,7 +182,22 @@ def runs_freq_duration(spark: SparkSession, d: str) -> DataFrame:
     return f.df.select("x", "y", "year", F.explode("freq_duration").alias("e")).select("x", "y", "year", "e.duration", "e.count")
 
 
-@query("freeze_thaw")
+@query(
+    "freeze_thaw",
+    f"""with recursive {DAILY},
+    t as (select x, y, cast(year(time) as int) as year, row_number() over (partition by x, y, year(time) order by time) as k, quantity - 25 as v from d),
+    u as (select *, sum(v) over (partition by x, y, year order by k) as total, coalesce(lag(v) over (partition by x, y, year order by k) >= 0, true) as above from t),
+    b as (select distinct x, y, year, 0 as begun, cast(0 as double) as base from t union select x, y, year, k - 1, total - v from u where (v >= 0) <> above),
+    h as (select b.x, b.y, b.year, b.begun, min(k) as done, arg_min(sign(total - base), k) as side from b join u on u.x = b.x and u.y = b.y and u.year = b.year and k > begun and abs(total - base) >= 15 group by all),
+    n as (select *, row_number() over (partition by x, y, year order by begun) as n from h),
+    w as (
+        select distinct x, y, year, cast(0 as bigint) as n, cast(0 as bigint) as side, cast(0 as bigint) as since, -1 as changes from t
+        union all
+        select w.x, w.y, w.year, n.n, case when n.begun >= w.since then n.side else w.side end, case when n.begun >= w.since and n.side <> w.side then n.done else w.since end, w.changes + case when n.begun >= w.since and n.side <> w.side then 1 else 0 end
+        from w join n on n.x = w.x and n.y = w.y and n.year = w.year and n.n = w.n + 1
+    )
+    select x, y, year, cast(max(changes) as double) as freezethaw from w group by x, y, year""",
+)
 def freeze_thaw(spark: SparkSession, d: str) -> DataFrame:
     return calculate(daily(spark, d, "quantity - 25", "tas", "C"), "freezethaw!threshold~15", ["year"]).df.select("x", "y", "year", "freezethaw")
 

@@ -17,7 +17,7 @@ from isobar.functions.library import Calculation, register
 from isobar.model import DimensionMap, Field
 from isobar.operators import filters, regrid, spatial
 from isobar.operators.grouping import Grouping
-from isobar.plans.calculate import calculate, cycles, parse_calc
+from isobar.plans.calculate import calculate, parse_calc, thaws
 from isobar.plans.request import Request
 from isobar.sources import mesh, netcdf
 from isobar.sources.datasets import Dataset, driver_for, meta_json
@@ -178,10 +178,29 @@ def test_duration_quirks(spark):
     assert lengths("TFTFT", "std") == 1 and lengths("TTFTF", "mean") == 1.5 and lengths("FFFF", "max") == 0 and lengths("TTTF", "std") == 3
 
 
-def test_freezethaw():
-    assert cycles(np.array([-10.0] * 3 + [10.0] * 3 + [-10.0] * 3), 15) == 2
-    assert cycles(np.array([5.0] * 10), 15) == 0
-    assert cycles(np.array([-10.0, 10.0] * 5), 15) == -1
+def brute_thaws(x, threshold):
+    """Changes of state, sum by sum: each is begun at a change of sign and followed to the end."""
+    begins = [0] + [k for k in range(len(x)) if (x[k] >= 0) != (k == 0 or x[k - 1] >= 0)]
+    side, since, changes = 0, 0, -1
+    for begin in begins:
+        total = 0.0
+        for k in range(begin, len(x)):
+            total += x[k]
+            if abs(total) >= threshold:
+                if begin >= since and np.sign(total) != side:
+                    side, since, changes = np.sign(total), k + 1, changes + 1
+                break
+    return changes
+
+
+def test_freezethaw(spark):
+    known = [([-10] * 3 + [10] * 3 + [-10] * 3, 15, 2), ([5] * 10, 15, 0), ([-10, 10] * 5, 15, -1), ([0, 7, -1, 9, 0, -15, 0], 15, 1), ([0, 1, 2, 3, 0, -1, 0, 1, -2, -3, 3], 2, 2), ([3, 4, 5, 2, 3, -3, 4, 5, -5, -6, -3, 0, -1, 4, 5, 2, -3, -5, 6], 2, 6), ([], 15, -1)]
+    r = random.Random(11)
+    series = [[float(r.randint(-9, 9)) for _ in range(r.randint(1, 60))] for _ in range(300)]
+    for threshold in (2, 15, 31):
+        rows = [([float(v) for v in x], float(n)) for x, t, n in known if t == threshold] + [(x, float(brute_thaws(x, threshold))) for x in series]
+        found = spark.createDataFrame(rows, "x array<double>, want double").select("x", "want", thaws(F.col("x"), float(threshold)).alias("got")).where("got <> want").collect()
+        assert found == []
 
 
 def brute_daily(rows, p, width, leap):
