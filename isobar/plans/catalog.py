@@ -579,12 +579,20 @@ def space_average_calc(spark: SparkSession, d: str) -> DataFrame:
 @query("space_calc_raw", f"with {EVENTS}, {SEL}, m as (select ugid, rlz, x, y, max(value) as v from e join s on x between x0 and x1 and y between y0 and y1 group by ugid, rlz, x, y) select ugid as UGID, rlz, round(avg(v), 6) as max from m group by ugid, rlz")
 def space_calc_raw(spark: SparkSession, d: str) -> DataFrame:
     f = events(spark, d)
-    f = f.with_df(f.df.drop("gid"))
-    f = Request(f, geom=SELECTION, aggregate=True, calc="max", calc_grouping="all", calc_raw=True).plan(spark)[0]
-    one = f.df.groupBy("UGID", "rlz").agg(F.first("max").alias("max"))
-    cells = calculate(spatial.intersects(events(spark, d).with_df(events(spark, d).df.drop("gid")), spatial.selections(spark, SELECTION)), "max", "all")
-    both = cells.df.groupBy("UGID", "rlz").agg(F.avg("max").alias("max"))
-    return rounded(both.join(one.select("UGID", "rlz"), ["UGID", "rlz"]), "max")
+    r = Request(f.with_df(f.df.drop("gid")), geom=SELECTION, aggregate=True, calc="max", calc_grouping="all", calc_raw=True)
+    return rounded(r.execute(spark).select("UGID", "rlz", "max"), "max")
+
+
+@query(
+    "space_calc_raw_day",
+    f"with {CLIPPED}, m as (select ugid, rlz, lb_x, ub_x, lb_y, ub_y, day(time) as dd, max(value) as v, (ub_x - lb_x) * (ub_y - lb_y) as a from c group by all), "
+    "g as (select ugid, day(time) as dd, min(time) as lb_time, max(time) as ub_time from c group by all) "
+    "select ugid as UGID, rlz, cast(dd as int) as day, lb_time, ub_time, round(sum(a * v) / sum(a), 6) as max from m join g using (ugid, dd) group by all",
+)
+def space_calc_raw_day(spark: SparkSession, d: str) -> DataFrame:
+    f = events(spark, d, True)
+    r = Request(f.with_df(f.df.drop("gid")), geom=SELECTION, spatial_operation="clip", aggregate=True, calc="max", calc_grouping=["day"], calc_raw=True)
+    return rounded(r.execute(spark).select("UGID", "rlz", "day", "lb_time", "ub_time", "max"), "max")
 
 
 @query("space_nearest", f"with {EVENTS}, {SEL}, r as (select ugid, gid, row_number() over (partition by ugid order by power(x - (x0 + x1) / 2, 2) + power(y - (y0 + y1) / 2, 2), gid desc) as n from e, s) select ugid as UGID, r.gid, value from r join e using (gid) where n = 1")

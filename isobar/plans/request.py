@@ -19,7 +19,7 @@ from isobar.functions import units as U
 from isobar.model import Field, merge
 from isobar.operators import filters, spatial
 from isobar.operators import regrid as R
-from isobar.operators.grouping import Grouping
+from isobar.operators.grouping import Grouping, keyed, stamped, summary
 from isobar.plans.calculate import calculate, parse_calc
 from isobar.sources.datasets import Dataset
 
@@ -108,6 +108,7 @@ class Request:
         wrong(self.file_only and (self.output_format != "nc" or not self.calc), "file_only is for calculations in NetCDF")
         wrong(self.optimized_bbox_subset and self.spatial_operation == "clip", "optimized_bbox_subset is for intersects")
         wrong(self.spatial_reorder and self.aggregate, "spatial_reorder and aggregate exclude each other")
+        wrong(isinstance(self.regrid_destination, list | tuple), "a request has one regrid_destination")
         wrong(self.regrid_destination is not None and self.spatial_operation == "clip", "a regridded field can't be clipped")
         wrong(self.output_format == "nc" and self.spatial_operation == "clip" and not self.aggregate, "NetCDF takes clipped fields only if averaged")
         wrong(self.output_format == "geojson" and self.output_crs is not None and not self.output_crs.geographic, "GeoJSON takes geographic coordinates")
@@ -200,11 +201,25 @@ class Request:
         if self.conform_units_to:
             f = U.conform(f, self.conform_units_to)
         if self.calc:
-            f = calculate(f, self.calc, self.calc_grouping, self.calc_sample_size)
+            raw, f = f, calculate(f, self.calc, self.calc_grouping, self.calc_sample_size)
             if self.aggregate and self.calc_raw:
-                f = spatial.weighted_average(f, F.lit(1.0))
+                f = self.averaged(raw, f)
         return f
 
+    def averaged(self, raw: Field, f: Field) -> Field:
+        """The average over cells of results that were made cell by cell. A group's time and bounds are those of its selection."""
+        grouping = Grouping.parse(self.calc_grouping)
+        if grouping is None:
+            return spatial.weighted_average(f)
+        times = ["time", "lb_time", "ub_time"]
+        axes, bounds = ({k: v for k, v in x.items() if k != "time"} for x in (f.dims.axes, f.dims.bounds))
+        mean = spatial.weighted_average(f.with_df(f.df.drop(*times), dims=type(f.dims)(axes, bounds, f.dims.crs)))
+        on = [c for c in ("UGID", *grouping.names) if c in f.df.columns]
+        stamps = stamped(keyed(raw.df, raw.axis("time"), grouping).groupBy(*on).agg(*summary(raw, grouping)), grouping)
+        rows = mean.df.join(stamps, on) if on else mean.df.join(F.broadcast(stamps))  # without keys stamps is one row
+        dims = type(f.dims)({**mean.dims.axes, "time": "time"}, {**mean.dims.bounds, "time": ("lb_time", "ub_time")}, f.dims.crs)
+        return mean.with_df(rows, dims=dims)
+
     def plan(self, spark: SparkSession) -> list[Field]:
         """The result as fields, one for each dataset; nothing has run yet but small counts."""
         self.validate()
