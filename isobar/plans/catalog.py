@@ -339,47 +339,23 @@ BASIS = """k as (select distinct month(time) as m, day(time) as dd from t),
         select t.x, t.y, 2, 29, t.v from t join k on k.m = 2 and k.dd = 29 and date_diff('day', make_date(year(t.time), 2, 28), cast(t.time as date)) between -1 and 2
     ),
     q as (select x, y, m, dd, quantile_cont(v, 0.1) as q10, quantile_cont(v, 0.9) as q90 from p group by x, y, m, dd)"""
-FEW = TAS.replace("from d)", "from d where y = 0)")
 
-
-def few(spark: SparkSession, d: str) -> Field:
-    f = daily(spark, d, "248 + quantity", "v")
-    return f.where("y = 0")
-
-
-@query("index_day_percentiles", f"with {FEW}, {BASIS} select t.x, t.y, cast(year(time) as int) as year, count(*) filter (v < q10) as TG10p, count(*) filter (v < q10) as TX10p, count(*) filter (v < q10) as TN10p, count(*) filter (v > q90) as TG90p, count(*) filter (v > q90) as TX90p, count(*) filter (v > q90) as TN90p from t join q on t.x = q.x and t.y = q.y and month(time) = m and day(time) = dd group by t.x, t.y, year(time)")
+@query("index_day_percentiles", f"with {TAS}, {BASIS} select t.x, t.y, cast(year(time) as int) as year, count(*) filter (v < q10) as TG10p, count(*) filter (v < q10) as TX10p, count(*) filter (v < q10) as TN10p, count(*) filter (v > q90) as TG90p, count(*) filter (v > q90) as TX90p, count(*) filter (v > q90) as TN90p from t join q on t.x = q.x and t.y = q.y and month(time) = m and day(time) = dd group by t.x, t.y, year(time)")
 def index_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["TG10p", "TX10p", "TN10p", "TG90p", "TX90p", "TN90p"]
-    return calculate(few(spark, d), keys, ["year"]).df.select("x", "y", "year", *keys)
-
-
-@query("index_day_percentiles_all", SQL["index_day_percentiles"].replace(FEW, TAS))
-def index_day_percentiles_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all cells."""
     keys = ["TG10p", "TX10p", "TN10p", "TG90p", "TX90p", "TN90p"]
     return calculate(daily(spark, d, "248 + quantity", "v"), keys, ["year"]).df.select("x", "y", "year", *keys)
 
 
 @query(
     "index_spell_durations",
-    f"with {FEW}, {BASIS}, h as (select t.x, t.y, time, year(time) as yr, v > q90 as hot, v < q10 as cold from t join q on t.x = q.x and t.y = q.y and month(time) = m and day(time) = dd), "
+    f"with {TAS}, {BASIS}, h as (select t.x, t.y, time, year(time) as yr, v > q90 as hot, v < q10 as cold from t join q on t.x = q.x and t.y = q.y and month(time) = m and day(time) = dd), "
     + ", ".join(f"i{c} as (select *, row_number() over (partition by x, y, yr order by time) - row_number() over (partition by x, y, yr, {c} order by time) as run from h), r{c} as (select x, y, yr, run, count(*) as n from i{c} where {c} group by x, y, yr, run having count(*) >= 6), s{c} as (select x, y, yr, sum(n) as n from r{c} group by x, y, yr)" for c in ("hot", "cold"))
     + " select k.x, k.y, cast(k.yr as int) as year, cast(coalesce(shot.n, 0) as bigint) as WSDI, cast(coalesce(scold.n, 0) as bigint) as CSDI from (select distinct x, y, yr from h) k left join shot using (x, y, yr) left join scold using (x, y, yr)",
 )
 def index_spell_durations(spark: SparkSession, d: str) -> DataFrame:
-    return calculate(few(spark, d), ["WSDI", "CSDI"], ["year"]).df.select("x", "y", "year", "WSDI", "CSDI")
-
-
-@query("index_spell_durations_all", SQL["index_spell_durations"].replace(FEW, TAS))
-def index_spell_durations_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all cells."""
     return calculate(daily(spark, d, "248 + quantity", "v"), ["WSDI", "CSDI"], ["year"]).df.select("x", "y", "year", "WSDI", "CSDI")
 
 
-# Filters.
-FROM, TO = datetime(2024, 1, 5, 6), datetime(2024, 1, 12, 18)
-
-
 @query("filter_time_range", f"with {EVENTS} select * from e where time between timestamp '2024-01-05 06:00:00' and timestamp '2024-01-12 18:00:00'")
 def filter_time_range(spark: SparkSession, d: str) -> DataFrame:
     return filters.time_range(events(spark, d), FROM, TO).df
@@ -435,15 +411,8 @@ def filter_snippet(spark: SparkSession, d: str) -> DataFrame:
     return filters.snippet(lines(spark, d, True, "quantity")).df.select("time", "level", "x", "y", "quantity")
 
 
-@query("mask_cascade", f"with {LINES} select x, y, case when quantity > 25 then null else price end as price, case when quantity > 25 then null else discount end as discount from (select *, row_number() over () as n from l) where time < timestamp '1995-03-01'")
+@query("mask_cascade", f"with {LINES} select x, y, case when quantity > 25 then null else price end as price, case when quantity > 25 then null else discount end as discount from l")
 def mask_cascade(spark: SparkSession, d: str) -> DataFrame:
-    f = lines(spark, d, False, "quantity", "price", "discount").where("time < timestamp_ntz'1995-03-01'")
-    return mask(f, F.col("quantity") > 25).df.select("x", "y", "price", "discount")
-
-
-@query("mask_cascade_all", SQL["mask_cascade"].replace(" where time < timestamp '1995-03-01'", ""))
-def mask_cascade_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all times."""
     f = lines(spark, d, False, "quantity", "price", "discount")
     return mask(f, F.col("quantity") > 25).df.select("x", "y", "price", "discount")
 
@@ -487,10 +456,10 @@ def source_size(spark: SparkSession, d: str) -> DataFrame:
     return request_size(lines(spark, d))
 
 
-@query("set_stack", f"with {EVENTS} select 'a' as part, gid, value from e where value < 100 union all select 'b', gid, value from e where value > 400")
+@query("set_stack", f"with {EVENTS} select 'a' as part, gid, value from e where value < 250 union all select 'b', gid, value from e where value >= 250")
 def set_stack(spark: SparkSession, d: str) -> DataFrame:
     f = events(spark, d)
-    return stack([f.where("value < 100"), f.where("value > 400")], "part", ["a", "b"]).df.select("part", "gid", "value")
+    return stack([f.where("value < 250"), f.where("value >= 250")], "part", ["a", "b"]).df.select("part", "gid", "value")
 
 
 @query("set_datasets", f"with {EVENTS} select 1 as DID, gid, value from e where rlz = 'click' union all select 2, gid, value from e where rlz <> 'click'")
