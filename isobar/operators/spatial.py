@@ -1,7 +1,11 @@
 """Selections and spatial predicates. Boxes are four columns; polygons are rings, arrays of points, in pure column math.
 
-Selections are few against the cells. Those of at most SMALL rows are counted and broadcast; larger sets meet the cells
-by tile, an equi-join on a grid of the selections' own extent, so that no plan compares all cells with all selections.
+A ring without nulls is closed by its last side. Polygons of several parts or with holes are one array too: each part is
+closed by its first point again and ended by a null; holes run against the direction of what they lie in.
+
+A field's distinct cells, which are few against its rows, meet the selections by tile, an equi-join on a grid as wide as
+the selections and cells are; the rows then meet their cell's selections by its coordinates. So no plan compares rows
+with selections, and selections needn't be few.
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ from pyspark.sql import functions as F
 from isobar.errors import DefinitionError
 from isobar.model import Field
 
-SMALL = 10_000
+#: What is left out of results: the shapes of selections.
+SHAPE = ("x0", "y0", "x1", "y1", "ring", "reach", "properties")
 RING = "array<struct<x:double,y:double>>"
 Box = tuple[float, float, float, float]
 
 
 def selections(spark: SparkSession, geoms: Any, uid: str = "UGID") -> DataFrame:
-    """(ugid, x0, y0, x1, y1, ring, properties...) from a DataFrame, boxes, points, rings, dicts with a geom, or text a|b|c|d."""
+    """(ugid, x0, y0, x1, y1, ring, properties...) from a DataFrame, boxes, points, rings, lists of rings, dicts with a geom, or text a|b|c|d."""
     if isinstance(geoms, DataFrame):
         return geoms if "ugid" in [c.lower() for c in geoms.columns] else with_uid(geoms)
     if isinstance(geoms, str):
@@ -43,8 +48,10 @@ def selections(spark: SparkSession, geoms: Any, uid: str = "UGID") -> DataFrame:
                 raise DefinitionError("a geometry is a point, a box or a ring")
             box = tuple(map(float, shape))
         else:
-            ring = [(float(a), float(b)) for a, b in shape]
-            box = (min(a for a, _ in ring), min(b for _, b in ring), max(a for a, _ in ring), max(b for _, b in ring))
+            several = shape if not isinstance(shape[0][0], int | float) else [shape]  # parts and holes, or one ring
+            ring = together([[(float(a), float(b)) for a, b in r] for r in several])
+            own = [p for p in ring if p]
+            box = (min(a for a, _ in own), min(b for _, b in own), max(a for a, _ in own), max(b for _, b in own))
         rows.append((int(props.pop(uid, k)), *box, ring, {a: str(b) for a, b in props.items()}))
     return spark.createDataFrame(rows, f"ugid int, x0 double, y0 double, x1 double, y1 double, ring {RING}, properties map<string,string>")
 
@@ -74,17 +81,19 @@ def overlaps(f: Field, touch: bool) -> Column:
     return (x0 < F.col("x1")) & (x1 > F.col("x0")) & (y0 < F.col("y1")) & (y1 > F.col("y0"))
 
 
+def sides(ring: Column) -> Column:
+    """A ring's sides as pairs of points a and b; beside a null no side."""
+    return F.arrays_zip(ring.alias("a"), F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)).alias("b"))
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point lies in a ring, by the parity of crossings of the ray to its right."""
-    nexts = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    sides = F.arrays_zip(ring.alias("a"), nexts.alias("b"))
     crosses = lambda s: ((s.a.y > y) != (s.b.y > y)) & (x < (s.b.x - s.a.x) * (y - s.a.y) / F.nullif(s.b.y - s.a.y, F.lit(0.0)) + s.a.x)
-    return F.size(F.filter(sides, lambda s: F.coalesce(crosses(s), F.lit(False)))) % 2 == 1
+    return F.size(F.filter(sides(ring), lambda s: F.coalesce(crosses(s), F.lit(False)))) % 2 == 1
 
 
 def ring_meets_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Whether a ring and a box share area: a side passes through the box's inside, or else the box lies in the ring as its centre does."""
-    nexts = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
 
     def cut(s: Column) -> Column:
         """Whether a side of the ring passes through the box's inside (slab test)."""
@@ -93,69 +102,128 @@ def ring_meets_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column)
         low = F.greatest(F.coalesce(F.least(tx0, tx1), F.lit(0.0)), F.coalesce(F.least(ty0, ty1), F.lit(0.0)), F.lit(0.0))
         high = F.least(F.coalesce(F.greatest(tx0, tx1), F.lit(1.0)), F.coalesce(F.greatest(ty0, ty1), F.lit(1.0)), F.lit(1.0))
         level = (dx.isNotNull() | ((s.a.x > x0) & (s.a.x < x1))) & (dy.isNotNull() | ((s.a.y > y0) & (s.a.y < y1)))
-        return level & (low < high)
+        return s.a.isNotNull() & s.b.isNotNull() & level & (low < high)
+
+    return in_ring((x0 + x1) / 2, (y0 + y1) / 2, ring) | F.exists(sides(ring), lambda s: F.coalesce(cut(s), F.lit(False)))
+
+
+def side_distance(s: Column, x: Column, y: Column) -> Column:
+    """Square of a point's distance from a side."""
+    dx, dy = s.b.x - s.a.x, s.b.y - s.a.y
+    t = F.coalesce(((x - s.a.x) * dx + (y - s.a.y) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    ex, ey = s.a.x + t * dx - x, s.a.y + t * dy - y
+    return ex * ex + ey * ey
+
+
+def ring_distance(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Square of the distance of a ring's line from a box, or a point, that no side passes through."""
+
+    def one(s: Column) -> Column:
+        ex, ey = (F.greatest(a - p, F.lit(0.0), p - b) for a, p, b in ((x0, s.a.x, x1), (y0, s.a.y, y1)))
+        corner = [side_distance(s, x, y) for x in (x0, x1) for y in (y0, y1)]
+        return F.when(s.a.isNotNull(), F.least(ex * ex + ey * ey, *corner))
 
-    return in_ring((x0 + x1) / 2, (y0 + y1) / 2, ring) | F.exists(F.arrays_zip(ring.alias("a"), nexts.alias("b")), cut)
+    return F.array_min(F.transform(sides(ring), one))
 
 
-def meeting(f: Field, sel: DataFrame, test: Column, tile: float | None = None) -> DataFrame:
-    """Cells with the selections for which test holds."""
-    names = [c for c in sel.columns if c not in f.df.columns]
-    sel = sel.select(*names)
-    if tile is None and sel.count() <= SMALL:
-        return f.df.join(F.broadcast(sel), test)
-    size = tile or 1.0
-    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
+def meets(f: Field, sel: DataFrame, touch: bool | None = None) -> Column:
+    """Whether a cell meets a selection. Points keep touches, cells with area drop them, unless told otherwise."""
+    polygons = bool(f.bounds("x") and f.bounds("y"))
+    test = overlaps(f, not polygons if touch is None else touch)
+    if "ring" not in sel.columns:
+        return test
+    exact = ring_meets_box(F.col("ring"), *edges(f)) if polygons else in_ring(f.axis("x"), f.axis("y"), F.col("ring"))
+    if "reach" in sel.columns:
+        far, reach = ring_distance(F.col("ring"), *edges(f)), F.col("reach") * F.col("reach")
+        exact = exact | F.coalesce(far < reach if polygons and not touch else far <= reach, F.lit(False))
+    return test & (F.col("ring").isNull() | exact)
+
+
+def places(f: Field) -> list[str]:
+    """Columns that say where a cell is."""
+    return list(dict.fromkeys(c for a in ("x", "y") for c in (f.dims.column(a), *(f.bounds(a) or ()))))
+
+
+def met_cells(f: Field, sel: DataFrame, test: Column, tile: float | None = None) -> DataFrame:
+    """Distinct cells with the selections for which test holds."""
+    areas = sel.select(*(c for c in sel.columns if c not in f.df.columns))
+    cells = f.df.select(*places(f)).distinct()
     x0, y0, x1, y1 = edges(f)
-    cells = f.df.withColumn("__tx", F.explode(span(x0, x1))).withColumn("__ty", F.explode(span(y0, y1)))
-    areas = sel.withColumn("__sx", F.explode(span(F.col("x0"), F.col("x1")))).withColumn("__sy", F.explode(span(F.col("y0"), F.col("y1"))))
+    if tile:
+        cells, areas = cells.withColumn("__tile", F.lit(tile)), areas.withColumn("__tile", F.lit(tile))
+    else:
+        side = lambda a, b, c, d: F.coalesce(F.greatest(c - a, d - b), F.lit(0.0))
+        own, asked = side(x0, y0, x1, y1), side(*map(F.col, SHAPE[:4]))
+        spread = sel.agg(F.greatest(F.avg(asked), F.max(asked) / 64, (F.max("x1") - F.min("x0")) / F.sqrt(F.count("*")) / 8))
+        # as wide as selections and cells are on average, so that each lies in few tiles
+        size = F.coalesce(F.nullif(F.greatest(cells.agg(F.greatest(F.avg(own), F.max(own) / 64)).scalar(), spread.scalar()), F.lit(0.0)), F.lit(1.0))
+        cells, areas = cells.withColumn("__tile", size), areas.withColumn("__tile", size)
+    at = lambda c: F.floor(c / F.col("__tile"))
+    span = lambda a, b: F.explode(F.sequence(at(a), at(b)))
+    cells = cells.withColumn("__tx", span(x0, x1)).withColumn("__ty", span(y0, y1))
+    areas = areas.withColumn("__tx", span(F.col("x0"), F.col("x1"))).withColumn("__ty", span(F.col("y0"), F.col("y1"))).drop("__tile")
     # a pair shares several tiles: it counts in the first of them
-    first = (F.col("__tx") == F.greatest(F.floor(x0 / size), F.floor(F.col("x0") / size))) & (F.col("__ty") == F.greatest(F.floor(y0 / size), F.floor(F.col("y0") / size)))
-    return cells.join(areas, (F.col("__tx") == F.col("__sx")) & (F.col("__ty") == F.col("__sy")) & first & test).drop("__tx", "__ty", "__sx", "__sy")
+    first = (F.col("__tx") == F.greatest(at(x0), at(F.col("x0")))) & (F.col("__ty") == F.greatest(at(y0), at(F.col("y0"))))
+    return cells.join(areas, ["__tx", "__ty"]).where(first & test).drop("__tx", "__ty", "__tile")
+
+
+def meeting(f: Field, pairs: DataFrame) -> DataFrame:
+    """The rows of a field with what met_cells() found for their cells."""
+    keys = places(f)
+    return f.df.join(pairs.drop("ring", "reach", "properties"), keys).select(*f.df.columns, *(c for c in pairs.columns if c not in keys and c not in SHAPE[4:]))
 
 
 def intersects(f: Field, sel: DataFrame, touch: bool | None = None, optimized: bool = False, tile: float | None = None) -> Field:
     """Cells that meet each selection, with its ugid. Points keep touches, cells with area drop them, unless told otherwise."""
-    polygons = bool(f.bounds("x") and f.bounds("y"))
     x, y = f.axis("x"), f.axis("y")
-    if optimized:
-        test = x.between(F.col("x0"), F.col("x1")) & y.between(F.col("y0"), F.col("y1"))
-    else:
-        test = overlaps(f, not polygons if touch is None else touch)
-        if "ring" in sel.columns:
-            exact = ring_meets_box(F.col("ring"), *edges(f)) if polygons else in_ring(x, y, F.col("ring"))
-            test = test & (F.col("ring").isNull() | exact)
-    gone = [c for c in sel.columns if c in ("x0", "y0", "x1", "y1", "ring", "properties")]
-    return f.with_df(meeting(f, sel, test, tile).drop(*gone).withColumnRenamed("ugid", "UGID"))
+    test = x.between(F.col("x0"), F.col("x1")) & y.between(F.col("y0"), F.col("y1")) if optimized else meets(f, sel, touch)
+    return f.with_df(meeting(f, met_cells(f, sel, test, tile)).drop(*SHAPE).withColumnRenamed("ugid", "UGID"))
 
 
 def union_intersects(f: Field, sel: DataFrame, touch: bool | None = None, tile: float | None = None) -> Field:
     """Cells that meet any selection, once each, with ugid 1."""
-    polygons = bool(f.bounds("x") and f.bounds("y"))
-    test = overlaps(f, not polygons if touch is None else touch)
-    if tile is None and sel.count() <= SMALL:
-        return f.with_df(f.df.join(F.broadcast(sel), test, "left_semi").withColumn("UGID", F.lit(1)))
-    rows = f.with_df(f.df.withColumn("__row", F.monotonically_increasing_id()))
-    met = meeting(rows, sel, test, tile or 1.0).dropDuplicates(["__row"])
-    return f.with_df(met.select(*f.df.columns, F.lit(1).alias("UGID")))
+    met = met_cells(f, sel, meets(f, sel, touch), tile).select(*places(f)).distinct()
+    return f.with_df(f.df.join(met, places(f), "left_semi").select(*f.df.columns, F.lit(1).alias("UGID")))
 
 
 def clip(f: Field, sel: DataFrame) -> Field:
-    """Cells cut to each selection: boxes by their edges, rings by cutting the ring to the cell. __area is what is left."""
+    """Cells cut to each selection: boxes by their edges, rings by cutting the ring to the cell. __area is what is left.
+
+    Each distinct cell is cut once for each selection. Grown rings have no cut form and raise an error.
+    """
     names = [f.dims.column("x"), f.dims.column("y")]
-    met = meeting(f, sel, overlaps(f, False))
     x0, y0, x1, y1 = edges(f)
     cut = [F.greatest(x0, F.col("x0")), F.greatest(y0, F.col("y0")), F.least(x1, F.col("x1")), F.least(y1, F.col("y1"))]
-    box = (cut[2] - cut[0]) * (cut[3] - cut[1])
+    area = (cut[2] - cut[0]) * (cut[3] - cut[1])
     (xa, xb), (ya, yb) = f.bounds("x"), f.bounds("y")
     if "ring" in sel.columns:
-        area = F.when(F.col("ring").isNull(), box).otherwise(ring_area_in_box(F.col("ring"), x0, y0, x1, y1))
-    else:
-        area = box
-    out = met.withColumn("__area", area).withColumns({"__x0": cut[0], "__y0": cut[1], "__x1": cut[2], "__y1": cut[3]}).where("__area > 0")
+        ring = ring_area_in_box(F.col("ring"), x0, y0, x1, y1)
+        if "reach" in sel.columns:
+            ring = F.when(F.col("reach").isNull(), ring).otherwise(F.raise_error(F.lit("a grown ring can't be clipped")).cast("double"))
+        area = F.when(F.col("ring").isNull(), area).otherwise(ring)
+    pairs = met_cells(f, sel, overlaps(f, False)).withColumn("__area", area).where("__area > 0")
+    out = meeting(f, pairs).withColumns({"__x0": cut[0], "__y0": cut[1], "__x1": cut[2], "__y1": cut[3]})
     out = out.withColumns({xa: F.col("__x0"), xb: F.col("__x1"), ya: F.col("__y0"), yb: F.col("__y1"), names[0]: (F.col("__x0") + F.col("__x1")) / 2, names[1]: (F.col("__y0") + F.col("__y1")) / 2})
-    gone = [c for c in sel.columns if c in ("x0", "y0", "x1", "y1", "ring", "properties")]
-    return f.with_df(out.drop("__x0", "__y0", "__x1", "__y1", *gone).withColumnRenamed("ugid", "UGID"))
+    return f.with_df(out.drop("__x0", "__y0", "__x1", "__y1", *SHAPE).withColumnRenamed("ugid", "UGID"))
+
+
+def parts(ring: list[tuple[float, float] | None]) -> list[list[tuple[float, float]]]:
+    """The parts of a ring that nulls end."""
+    out: list[list[tuple[float, float]]] = [[]]
+    for p in ring:
+        if p is None:
+            out.append([])
+        else:
+            out[-1].append(p)
+    return [x for x in out if x]
+
+
+def together(rings: list[list[tuple[float, float]]]) -> list[tuple[float, float] | None]:
+    """One ring of several parts, each closed and ended by a null; a lone part as it is."""
+    if len(rings) == 1:
+        return rings[0]
+    return [p for r in rings for p in (*r, *(() if r[0] == r[-1] else (r[0],)), None)]
 
 
 def cut_ring(ring: list[tuple[float, float]], box: Box) -> list[tuple[float, float]]:
@@ -173,8 +241,12 @@ def cut_ring(ring: list[tuple[float, float]], box: Box) -> list[tuple[float, flo
     return ring
 
 
+def signed_area(ring: list[tuple[float, float]]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]] if ring else [], strict=True)) / 2
+
+
 def area_of(ring: list[tuple[float, float]]) -> float:
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]] if ring else [], strict=True))) / 2
+    return abs(signed_area(ring))
 
 
 def ring_area_in_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -182,15 +254,15 @@ def ring_area_in_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Colum
 
     @F.pandas_udf("double")
     def cut(rings: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([area_of(cut_ring([(p["x"], p["y"]) for p in r], box)) if r is not None else None for r, box in zip(rings, zip(a, b, c, d, strict=True), strict=True)])
+        own = [None if r is None else parts([p and (p["x"], p["y"]) for p in r]) for r in rings]
+        return pd.Series([None if r is None else abs(sum(signed_area(cut_ring(p, box)) for p in r)) for r, box in zip(own, zip(a, b, c, d, strict=True), strict=True)], dtype=float)
 
     return cut(ring, x0, y0, x1, y1)
 
 
 def ring_area(ring: Column) -> Column:
     """Signed area, positive for rings that go counter-clockwise."""
-    nexts = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    return F.aggregate(F.arrays_zip(ring.alias("a"), nexts.alias("b")), F.lit(0.0), lambda t, s: t + (s.a.x * s.b.y - s.b.x * s.a.y)) / 2
+    return F.aggregate(sides(ring), F.lit(0.0), lambda t, s: t + F.coalesce(s.a.x * s.b.y - s.b.x * s.a.y, F.lit(0.0))) / 2
 
 
 def counter_clockwise(ring: Column) -> Column:
@@ -200,43 +272,52 @@ def counter_clockwise(ring: Column) -> Column:
 def nearest(f: Field, sel: DataFrame, order: str, tile: float | None = None) -> Field:
     """For each selection the cell nearest to its centre; of equally near ones, that with the largest order column.
 
-    More than SMALL selections search outwards by tiles: cells within a reach are found by equi-join, a cell no farther than the
-    reach is the nearest, and selections without one go on with twice the reach.
+    The search goes outwards by tiles: cells within a reach are found by equi-join, a cell no farther than the reach is the
+    nearest, and selections without one go on with twice the reach, until it spans all. Selections without a centre get none.
     """
     x, y = f.dims.column("x"), f.dims.column("y")
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    cells = f.df.select(order, F.col(x).alias("__x"), F.col(y).alias("__y")).distinct()
-    centres = sel.select("ugid", cx.alias("__cx"), cy.alias("__cy"))
+    middle = ((F.col("x0") + F.col("x1")) / 2).alias("__cx"), ((F.col("y0") + F.col("y1")) / 2).alias("__cy")
+    cells = f.df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.max(order).alias(order))
+    left = sel.select("ugid", *middle).where("__cx is not null and __cy is not null")
+    span = lambda df, a, b: df.agg(F.count("*"), F.min(a), F.min(b), F.max(a), F.max(b)).first()
+    (n, *own), (m, *asked) = span(cells, "__x", "__y"), span(left, "__cx", "__cy")
     d = (F.col("__x") - F.col("__cx")) * (F.col("__x") - F.col("__cx")) + (F.col("__y") - F.col("__cy")) * (F.col("__y") - F.col("__cy"))
     pick = lambda pairs: pairs.groupBy("ugid").agg(F.min_by(F.struct(order), F.struct(d, -F.col(order))).alias("best"), F.min(d).alias("__d2"))
-    if tile is None and sel.count() <= SMALL:
-        best = pick(cells.join(F.broadcast(centres)))
-    else:
-        reach, best, left, empty = tile or 1.0, None, centres, cells.isEmpty()
-        while not empty and not left.isEmpty():
-            span = lambda c, r: F.explode(F.sequence(F.floor((c - r) / r), F.floor((c + r) / r)))
-            asked = left.withColumn("__tx", span(F.col("__cx"), F.lit(reach))).withColumn("__ty", span(F.col("__cy"), F.lit(reach)))
+    best = pick(cells.join(left, F.lit(False)))
+    if n and m:
+        # a little more than the distance of any cell from any centre; the first reach holds a few cells
+        whole = 1.001 * sum(max(p, q) - min(a, b) for a, b, p, q in zip(own[:2], asked[:2], own[2:], asked[2:], strict=True)) + 1e-9
+        reach = tile or max(((own[2] - own[0]) * (own[3] - own[1]) / n) ** 0.5, whole / 4096)
+        kept = lambda df: df.checkpoint() if f.df.sparkSession.sparkContext.getCheckpointDir() else df
+        while True:
+            around = lambda c, r: F.explode(F.sequence(F.floor((c - r) / r), F.floor((c + r) / r)))
+            wide = left.withColumn("__tx", around(F.col("__cx"), F.lit(reach))).withColumn("__ty", around(F.col("__cy"), F.lit(reach)))
             near = cells.withColumn("__tx", F.floor(F.col("__x") / reach)).withColumn("__ty", F.floor(F.col("__y") / reach))
-            found = pick(asked.join(near, ["__tx", "__ty"])).where(F.col("__d2") <= reach * reach)
-            best = found if best is None else best.unionByName(found)
-            left, reach = left.join(found.select("ugid"), "ugid", "left_anti"), reach * 2
-        if best is None:
-            best = pick(cells.join(centres.limit(0), F.lit(False)))
+            found = kept(pick(wide.join(near, ["__tx", "__ty"])).where(F.col("__d2") <= reach * reach))
+            best = best.unionByName(found)
+            left = kept(left.join(found.select("ugid"), "ugid", "left_anti"))
+            if reach >= whole or left.isEmpty():
+                break
+            reach *= 2
     answer = best.select(F.col("ugid").alias("UGID"), F.col(f"best.{order}").alias("__order"), "__d2")
     return f.with_df(f.df.join(answer, F.col(order) == F.col("__order")).drop("__order"))
 
 
 def within_radius(f: Field, sel: DataFrame, radius: float) -> Field:
     """Points within a radius of each selected point."""
-    dx, dy = f.axis("x") - F.col("x0"), f.axis("y") - F.col("y0")
-    near = (F.abs(dx) <= radius) & (F.abs(dy) <= radius) & (dx * dx + dy * dy <= radius * radius)
-    gone = [c for c in sel.columns if c != "ugid"]
-    return f.with_df(meeting(f, sel, near).drop(*gone).withColumnRenamed("ugid", "UGID"))
+    dx, dy = f.axis("x") - F.col("__px"), f.axis("y") - F.col("__py")
+    grown = sel.select("ugid", F.col("x0").alias("__px"), F.col("y0").alias("__py"), *((F.col(c) + by).alias(c) for c, by in zip(SHAPE[:4], (-radius, -radius, radius, radius), strict=True)))
+    met = meeting(f, met_cells(f, grown, dx * dx + dy * dy <= radius * radius))
+    return f.with_df(met.drop("__px", "__py", *SHAPE).withColumnRenamed("ugid", "UGID"))
 
 
 def buffered(sel: DataFrame, by: float) -> DataFrame:
-    """Selections grown on all sides, with square corners."""
-    return sel.withColumns({"x0": F.col("x0") - by, "y0": F.col("y0") - by, "x1": F.col("x1") + by, "y1": F.col("y1") + by})
+    """Selections grown on all sides: boxes with square corners, rings by all that lies within reach of them."""
+    out = sel.withColumns({"x0": F.col("x0") - by, "y0": F.col("y0") - by, "x1": F.col("x1") + by, "y1": F.col("y1") + by})
+    if "ring" not in sel.columns:
+        return out
+    before = F.coalesce("reach", F.lit(0.0)) if "reach" in sel.columns else F.lit(0.0)
+    return out.withColumn("reach", F.when(F.col("ring").isNotNull(), before + by))
 
 
 def wrap_selections(sel: DataFrame) -> DataFrame:

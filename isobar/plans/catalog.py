@@ -579,17 +579,52 @@ def space_buffer(spark: SparkSession, d: str) -> DataFrame:
     return spatial.intersects(events(spark, d), spatial.buffered(spatial.selections(spark, SELECTION), 0.75)).df.select("UGID", "gid")
 
 
-@query("space_polygon")
+RING = [(-104.0, 35.0), (-96.0, 36.0), (-99.0, 43.0)]
+#: The sides of RING, each with the ring's inside to its left: ax, ay, bx, by_.
+SIDES = "r as (select * from (values (-104.0, 35.0, -96.0, 36.0), (-96.0, 36.0, -99.0, 43.0), (-99.0, 43.0, -104.0, 35.0)) as t(ax, ay, bx, by_))"
+#: For each cell whether it and the triangle share area: no side of either parts them. far: distance of the triangle's line from the cell's centre.
+TRIANGLE = f"""{BOX_EVENTS}, {SIDES}, cells as (select distinct x, y, lb_x, ub_x, lb_y, ub_y from b),
+    corners as (select x, y, px, py from cells, lateral (values (lb_x, lb_y), (lb_x, ub_y), (ub_x, lb_y), (ub_x, ub_y)) as c(px, py)),
+    parted as (select distinct x, y from (select x, y, ax, ay, max((bx - ax) * (py - ay) - (by_ - ay) * (px - ax)) as most from corners, r group by x, y, ax, ay) where most <= 0),
+    inside as (select * from cells where lb_x < -96 and ub_x > -104 and lb_y < 43 and ub_y > 35 and not exists (select 1 from parted p where p.x = cells.x and p.y = cells.y)),
+    near as (
+        select x, y, min(sqrt(power(ax + t * (bx - ax) - x, 2) + power(ay + t * (by_ - ay) - y, 2))) as far, bool_and((bx - ax) * (y - ay) - (by_ - ay) * (x - ax) > 0) as within
+        from (select *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / (power(bx - ax, 2) + power(by_ - ay, 2)))) as t from cells, r) group by x, y
+    )"""
+
+
+@query("space_polygon", f"with {TRIANGLE} select 9 as UGID, gid, value from b join inside using (x, y)")
 def space_polygon(spark: SparkSession, d: str) -> DataFrame:
-    ring = [(-104.0, 35.0), (-96.0, 36.0), (-99.0, 43.0)]
-    return spatial.intersects(events(spark, d, True), spatial.selections(spark, [{"geom": ring, "properties": {"UGID": 9}}])).df.select("UGID", "gid", "value")
+    return spatial.intersects(events(spark, d, True), spatial.selections(spark, [{"geom": RING, "properties": {"UGID": 9}}])).df.select("UGID", "gid", "value")
 
 
-@query("space_polygon_average")
+@query("space_union_ring", f"with {TRIANGLE}, {SEL} select 1 as UGID, gid, value from b where exists (select 1 from inside i where i.x = b.x and i.y = b.y) or exists (select 1 from s where ugid = 2 and lb_x < x1 and ub_x > x0 and lb_y < y1 and ub_y > y0)")
+def space_union_ring(spark: SparkSession, d: str) -> DataFrame:
+    return Request(events(spark, d, True), geom=[{"geom": RING}, {"geom": SELECTION[1]}], agg_selection=True).execute(spark).select("UGID", "gid", "value")
+
+
+@query("space_buffer_ring", f"with {TRIANGLE} select 1 as UGID, gid from e join near using (x, y) where within or far <= 1.3")
+def space_buffer_ring(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.intersects(events(spark, d), spatial.buffered(spatial.selections(spark, [RING]), 1.3)).df.select("UGID", "gid")
+
+
+#: The triangle's area in a cell by the trapezoids under its sides, cut to the cell's columns and rows at breaks where nothing bends.
+CUT = f"""{TRIANGLE}, bends as (
+        select x, y, u from inside, lateral (values (lb_x), (ub_x), (-104.0), (-96.0), (-99.0)) as v(u)
+        union select x, y, ax + (q - ay) * (bx - ax) / (by_ - ay) from inside, r, lateral (values (lb_y), (ub_y)) as v(q)
+    ),
+    strips as (select i.*, u as a, lead(u) over (partition by i.x, i.y order by u) as c from inside i join (select distinct x, y, u from bends) k on k.x = i.x and k.y = i.y and u between lb_x and ub_x),
+    lines as (
+        select s.x, s.y, a, c, lb_y, ub_y, ay + ((a + c) / 2 - ax) * (by_ - ay) / (bx - ax) as h from strips s, r
+        where c is not null and (a + c) / 2 between least(ax, bx) and greatest(ax, bx)
+    ),
+    areas as (select x, y, sum(w) as area from (select x, y, a, (c - a) * (least(greatest(max(h), lb_y), ub_y) - least(greatest(min(h), lb_y), ub_y)) as w from lines group by x, y, a, c, lb_y, ub_y) group by x, y)"""
+
+
+@query("space_polygon_average", f"with {CUT} select 1 as UGID, rlz, round(sum(area * value) / sum(area), 6) as value from b join areas using (x, y) where area > 0 group by rlz")
 def space_polygon_average(spark: SparkSession, d: str) -> DataFrame:
-    ring = [(-104.0, 35.0), (-96.0, 36.0), (-99.0, 43.0)]
-    f = spatial.clip(events(spark, d, True), spatial.selections(spark, [ring]))
-    return spatial.weighted_average(f.with_df(f.df.drop("time", "gid"))).df
+    f = spatial.clip(events(spark, d, True), spatial.selections(spark, [RING]))
+    return rounded(spatial.weighted_average(f.with_df(f.df.drop("time", "gid"))).df.select("UGID", "rlz", "value"), "value")
 
 
 @query("space_extent", f"with {BOX_EVENTS} select min(lb_x) as min_x, min(lb_y) as min_y, max(ub_x) as max_x, max(ub_y) as max_y from b")
