@@ -99,13 +99,17 @@ def write_netcdf(f: Field, path: str) -> None:
         netcdf.write(out, {c: len(v) for c, v in coords.items()}, made, {"Conventions": "CF-1.6"})
 
 
-def write_shapefile(records: list[tuple[list[tuple[float, float]], dict[str, Any]]], path: str) -> None:
-    """Polygons and their properties as .shp, .shx and .dbf: for selection geometries and other small results."""
-    boxes = [(min(x for x, _ in r), min(y for _, y in r), max(x for x, _ in r), max(y for _, y in r)) for r, _ in records]
+def write_shapefile(records: list[tuple[list[tuple[float, float] | None], dict[str, Any]]], path: str) -> None:
+    """Polygons, with parts that nulls end, and their properties as .shp, .shx and .dbf: for selection geometries and other small results."""
+    from isobar.operators.spatial import parts
+
+    points = [[p for p in r if p] for r, _ in records]
+    boxes = [(min(x for x, _ in r), min(y for _, y in r), max(x for x, _ in r), max(y for _, y in r)) for r in points]
     shapes, offsets, at = [], [], 50
     for k, ((ring, _), box) in enumerate(zip(records, boxes, strict=True), 1):
-        ring = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-        body = struct.pack("<i4d3i", 5, *box, 1, len(ring), 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+        rings = [r if r[0] == r[-1] else [*r, r[0]] for r in parts(ring)]
+        starts = [sum(map(len, rings[:n])) for n in range(len(rings))]
+        body = struct.pack(f"<i4d2i{len(rings)}i", 5, *box, len(rings), sum(map(len, rings)), *starts) + b"".join(struct.pack("<2d", *p) for r in rings for p in r)
         shapes.append(struct.pack(">2i", k, len(body) // 2) + body)
         offsets.append(struct.pack(">2i", at, len(body) // 2))
         at += len(body) // 2 + 4

@@ -17,6 +17,7 @@ from isobar.errors import DefinitionError
 from isobar.functions import units as U
 from isobar.model import DimensionMap, Field, merge
 from isobar.operators import filters
+from isobar.operators.spatial import ring_area
 from isobar.sources.netcdf import NetcdfSource
 from isobar.sources.vector import read_shapefile
 
@@ -33,13 +34,20 @@ def read_netcdf(spark: SparkSession, paths: list[str], options: dict[str, Any])
 
 
 def read_geojson(spark: SparkSession, paths: list[str], options: dict[str, Any]) -> DataFrame:
-    """(gid, geom_type, ring, x, y, properties) of a feature collection's features."""
+    """(gid, geom_type, ring, x, y, properties) of a feature collection's features. Polygons keep their parts and holes."""
     feature = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
     df = spark.read.text(paths, wholetext=True).select(F.from_json("value", f"type string, features array<{feature}>").alias("c"))
     out = df.select(F.posexplode("c.features").alias("gid", "f")).select((F.col("gid") + 1).alias("gid"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("raw"), F.col("f.properties").alias("properties"))
-    ring = F.transform(F.from_json("raw", "array<array<array<double>>>")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    points = lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    # the first ring of a polygon runs one way, its holes the other; each part is closed and ended by a null
+    closed = lambda r: F.when(r[0] == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    turned = lambda r, k: F.when((ring_area(r) >= 0) == (k == 0), r).otherwise(F.reverse(r))
+    ended = lambda r, k: F.concat(closed(turned(points(r), k)), F.array(F.lit(None)))
+    joined = lambda rings: F.flatten(F.transform(rings, ended))
+    one, many = F.from_json("raw", "array<array<array<double>>>"), F.from_json("raw", "array<array<array<array<double>>>>")
+    ring = F.when((F.col("geom_type") == "Polygon") & (F.size(one) == 1), points(one[0])).when(F.col("geom_type") == "Polygon", joined(one)).when(F.col("geom_type") == "MultiPolygon", F.flatten(F.transform(many, joined)))
     point = F.from_json("raw", "array<double>")
-    return out.withColumn("ring", F.when(F.col("geom_type") == "Polygon", ring)).withColumn("x", F.when(F.col("geom_type") == "Point", point[0])).withColumn("y", F.when(F.col("geom_type") == "Point", point[1])).drop("raw")
+    return out.withColumn("ring", ring).withColumn("x", F.when(F.col("geom_type") == "Point", point[0])).withColumn("y", F.when(F.col("geom_type") == "Point", point[1])).drop("raw")
 
 
 @dataclass(frozen=True)

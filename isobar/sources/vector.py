@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.errors import DefinitionError
-from isobar.operators.spatial import RING, select_uid, with_uid
+from isobar.operators.spatial import RING, select_uid, together, with_uid
 
 
-def shapes(raw: bytes) -> Iterator[list[tuple[float, float]] | None]:
-    """The first ring of each polygon, or a point's place twice; null shapes are None."""
+def shapes(raw: bytes) -> Iterator[list[tuple[float, float] | None] | None]:
+    """The ring of each polygon with all its parts and holes, or a point's place; null shapes are None."""
     at = 100
     while at + 8 <= len(raw):
         size = 2 * struct.unpack_from(">i", raw, at + 4)[0]
@@ -23,11 +23,12 @@ def shapes(raw: bytes) -> Iterator[list[tuple[float, float]] | None]:
         if kind == 1:
             yield [struct.unpack_from("<2d", raw, at + 12)]
         elif kind in (3, 5):
-            parts, points = struct.unpack_from("<2i", raw, at + 44)
-            starts = [*struct.unpack_from(f"<{parts}i", raw, at + 52), points]
-            flat = struct.unpack_from(f"<{2 * points}d", raw, at + 52 + 4 * parts)
-            ring = list(zip(flat[::2], flat[1::2], strict=True))[starts[0] : starts[1]]
-            yield ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+            count, points = struct.unpack_from("<2i", raw, at + 44)
+            starts = [*struct.unpack_from(f"<{count}i", raw, at + 52), points]
+            flat = struct.unpack_from(f"<{2 * points}d", raw, at + 52 + 4 * count)
+            line = list(zip(flat[::2], flat[1::2], strict=True))
+            rings = [r[:-1] if len(r) > 1 and r[0] == r[-1] else r for r in (line[a:b] for a, b in zip(starts, starts[1:], strict=False)) if r]
+            yield together(rings) if rings else None
         else:
             yield None
         at += 8 + size
@@ -62,9 +63,9 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for k, (ring, props) in enumerate(zip(shapes(shp), attributes(dbf), strict=True), 1):
                     if ring is not None:
-                        xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+                        xs, ys = zip(*(p for p in ring if p), strict=True)
                         uid = props.get("UGID", "")
-                        rows.append((int(float(uid)) if uid else k, min(xs), min(ys), max(xs), max(ys), [{"x": x, "y": y} for x, y in ring] if len(ring) > 2 else None, props))
+                        rows.append((int(float(uid)) if uid else k, min(xs), min(ys), max(xs), max(ys), [p and {"x": p[0], "y": p[1]} for p in ring] if len(ring) > 2 else None, props))
                 yield pd.DataFrame(rows, columns=["ugid", "x0", "y0", "x1", "y1", "ring", "properties"])
 
     return one.select("shp", "dbf").mapInPandas(run, f"ugid int, x0 double, y0 double, x1 double, y1 double, ring {RING}, properties map<string,string>")

@@ -82,6 +82,85 @@ def test_polygon(simple):
     assert spatial.clip(one, sel).df.agg(F.sum("__area")).first()[0] == pytest.approx(2.0)
 
 
+def square(x, y, side, hole=False):
+    ring = [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+    return ring[::-1] if hole else ring
+
+
+#: A square with a square hole, and a second part beside it.
+PARTS = [square(0.0, 0.0, 8.0), square(2.0, 2.0, 4.0, True), square(10.0, 0.0, 2.0)]
+
+
+@pytest.fixture(scope="module")
+def fine(spark):
+    """Cells of side 1 from 0 to 14 by 0 to 10."""
+    rows = [(x + 14 * y, x + 0.5, y + 0.5, float(x), x + 1.0, float(y), y + 1.0, 1.0) for x in range(14) for y in range(10)]
+    return Field.of(spark.createDataFrame(rows, "gid int, x double, y double, lb_x double, ub_x double, lb_y double, ub_y double, v double"))
+
+
+def in_parts(x, y):
+    inside = lambda a, b, side: a < x < a + side and b < y < b + side
+    return inside(0, 0, 8) and not inside(2, 2, 4) or inside(10, 0, 2)
+
+
+def test_parts_and_holes(spark, fine):
+    want = {(r.x, r.y) for r in fine.df.collect() if in_parts(r.x, r.y)}
+    sel = spatial.selections(spark, [{"geom": PARTS}])
+    at = lambda f: {(r.x, r.y) for r in f.df.collect()}
+    assert at(spatial.intersects(fine, sel)) == want == at(spatial.intersects(fine.drop_bounds("x", "y"), sel))
+    assert at(spatial.union_intersects(fine, sel)) == want
+    assert spatial.clip(fine, sel).df.agg(F.sum("__area")).first()[0] == pytest.approx(64 - 16 + 4)
+    near = lambda x, y: min(math.hypot(max(a - x, 0, x - b), max(c - y, 0, y - d)) for a, b, c, d in ((0, 8, 0, 2), (0, 8, 6, 8), (0, 2, 0, 8), (6, 8, 0, 8), (10, 12, 0, 2)))
+    points = {(r.x, r.y) for r in fine.df.collect() if near(r.x, r.y) <= 1.2}
+    assert at(spatial.intersects(fine.drop_bounds("x", "y"), spatial.buffered(sel, 1.2))) == points
+    boxes = {(r.x, r.y) for r in fine.df.collect() if min(near(min(max(r.x, r.x - 0.5), r.x + 0.5), r.y), *(near(r.x + a / 50, r.y + b / 50) for a in range(-25, 26, 5) for b in range(-25, 26, 5))) < 1.2}
+    assert at(spatial.intersects(fine, spatial.buffered(sel, 1.2))) == boxes
+
+
+def test_union_of_rings(spark, fine):
+    sel = spatial.selections(spark, [[(0.0, 0.0), (8.0, 0.0), (0.0, 8.0)], (12.0, 8.0, 14.0, 10.0)])
+    points = fine.drop_bounds("x", "y")
+    want = {r.gid for r in fine.df.collect() if r.x + r.y < 8 or (r.x > 12 and r.y > 8)}
+    assert {r.gid for r in spatial.union_intersects(points, sel).df.collect()} == want
+    assert {r.gid for r in spatial.union_intersects(points, sel, tile=3.0).df.collect()} == want
+
+
+def test_parts_of_files(spark, fine, tmp_path):
+    sinks.write_shapefile([(spatial.together([r[::-1] for r in PARTS]), {"UGID": 4}), (square(3.0, 3.0, 1.0), {"UGID": 5})], str(tmp_path / "several.shp"))
+    loop = lambda r: [list(p) for p in (*r, r[0])]
+    shapes = [{"type": "MultiPolygon", "coordinates": [[loop(PARTS[0]), loop(PARTS[1][::-1])], [loop(PARTS[2][::-1])]]}, {"type": "Polygon", "coordinates": [loop(PARTS[0]), loop(PARTS[1])]}]
+    text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"a": "b"}, "geometry": g} for g in shapes]})
+    (tmp_path / "more.geojson").write_text(text)
+    box = Cabinet(str(tmp_path))
+    for key, ids, areas in (("several", (4, 5), (52, 1)), ("more", (1, 2), (52, 48))):
+        cut = spatial.clip(fine, box.read(spark, key)).df.groupBy("UGID").agg(F.sum("__area").alias("a")).orderBy("UGID").collect()
+        assert [(r.UGID, round(r.a, 9)) for r in cut] == list(zip(ids, areas, strict=True))
+
+
+def test_plans_of_spatial_joins(spark, fine, tmp_path):
+    """Many selections meet distinct cells by tile; no plan compares rows with selections."""
+    rows = [(k, 0.001 * k, 0.0, 0.001 * k + 0.5, 0.5, None, None) for k in range(12_000)]
+    sel = spark.createDataFrame(rows, f"ugid int, x0 double, y0 double, x1 double, y1 double, ring {spatial.RING}, properties map<string,string>")
+    times = fine.with_df(fine.df.withColumn("time", F.explode(F.sequence(F.lit(0), F.lit(4)))))
+    found = spatial.intersects(times, sel).df
+    assert found.groupBy("time").count().select("count").distinct().count() == 1
+    assert found.where("time = 0").count() == sum(1 for k in range(12_000) for x in range(14) if x < 0.001 * k + 0.5 and x + 1 > 0.001 * k)
+    points = times.drop_bounds("x", "y")
+    plans = [found, spatial.union_intersects(times, sel).df, spatial.within_radius(points, sel, 0.7).df]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, plan
+
+
+def test_nearest_without_a_centre(spark, fine):
+    rows = [(1, 0.4, 0.4, 0.6, 0.6), (2, None, 1.0, None, 1.0), (3, 900.0, -900.0, 900.0, -900.0), (4, None, None, None, None)]
+    sel = spark.createDataFrame(rows, "ugid int, x0 double, y0 double, x1 double, y1 double")
+    for tile in (None, 0.3):
+        assert sorted((r.UGID, r.gid) for r in spatial.nearest(fine, sel, "gid", tile).df.collect()) == [(1, 0), (3, 13)]
+    assert spatial.nearest(fine.where("v > 1"), sel, "gid").df.count() == 0
+    assert spatial.nearest(fine, sel.where("ugid = 2"), "gid").df.count() == 0
+
+
 def test_ring_meets_box_where_only_sides_cross(spark):
     df = spark.range(1).select(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.expr("array(named_struct('x', -1D, 'y', 0.4D), named_struct('x', 2D, 'y', 0.4D), named_struct('x', 2D, 'y', 0.6D), named_struct('x', -1D, 'y', 0.6D))").alias("r"))
     assert df.select(spatial.ring_meets_box(F.col("r"), F.col("a"), F.col("a"), F.col("b"), F.col("b"))).first()[0]
