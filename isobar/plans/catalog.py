@@ -713,7 +713,7 @@ def target(spark: SparkSession, step: float = 2.5) -> Field:
 GRID = BOX_EVENTS + ", g as (select x, y, lb_x, ub_x, lb_y, ub_y, avg(value) as value from b group by all), t as (select a.i * 2.5 - 104.25 as x, b.j * 2.5 + 36.25 as y from (select unnest(range(5)) as i) a, (select unnest(range(2)) as j) b)"
 
 
-@query("regrid_conserve", f"with {GRID}, w as (select t.x, t.y, g.value, (least(ub_x, t.x + 1.25) - greatest(lb_x, t.x - 1.25)) * (least(ub_y, t.y + 1.25) - greatest(lb_y, t.y - 1.25)) as w from t join g on lb_x < t.x + 1.25 and ub_x > t.x - 1.25 and lb_y < t.y + 1.25 and ub_y > t.y - 1.25) select cast(x as double) as x, cast(y as double) as y, round(sum(w * value) / sum(w), 6) as value from w group by x, y")
+@query("regrid_conserve", f"with {GRID}, w as (select t.x, t.y, g.value, (least(ub_x, t.x + 1.25) - greatest(lb_x, t.x - 1.25)) * (degrees(sin(radians(least(ub_y, t.y + 1.25)))) - degrees(sin(radians(greatest(lb_y, t.y - 1.25))))) as w from t join g on lb_x < t.x + 1.25 and ub_x > t.x - 1.25 and lb_y < t.y + 1.25 and ub_y > t.y - 1.25) select cast(x as double) as x, cast(y as double) as y, round(sum(w * value) / sum(w), 6) as value from w group by x, y")
 def regrid_conserve(spark: SparkSession, d: str) -> DataFrame:
     return out(regrid.regrid(grid(spark, d), target(spark)), "x", "y", "value")
 
@@ -723,7 +723,7 @@ def regrid_conserve(spark: SparkSession, d: str) -> DataFrame:
     f"with {GRID}, w as (select t.x, t.y, g.value, (1 - abs(t.x - g.x)) * (1 - abs(t.y - g.y)) as w from t join g on abs(t.x - g.x) < 1 and abs(t.y - g.y) < 1), lim as (select min(x) as ax, max(x) as bx, min(y) as ay, max(y) as by_ from g) select cast(x as double) as x, cast(y as double) as y, round(sum(w * value) / sum(w), 6) as value from w, lim where x between ax and bx and y between ay and by_ group by x, y",
 )
 def regrid_bilinear(spark: SparkSession, d: str) -> DataFrame:
-    return out(regrid.regrid(grid(spark, d), target(spark), "bilinear"), "x", "y", "value")
+    return out(regrid.regrid(grid(spark, d), target(spark), "bilinear", allow_empty=True), "x", "y", "value")
 
 
 @query("regrid_nearest", f"with {GRID}, r as (select t.x, t.y, g.value, row_number() over (partition by t.x, t.y order by abs(t.x - g.x), g.x desc, abs(t.y - g.y), g.y desc) as n from t, g) select cast(x as double) as x, cast(y as double) as y, round(value, 6) as value from r where n = 1")
@@ -731,7 +731,7 @@ def regrid_nearest(spark: SparkSession, d: str) -> DataFrame:
     return out(regrid.regrid(grid(spark, d), target(spark), "nearest"), "x", "y", "value")
 
 
-@query("regrid_chunks", f"with {GRID}, w as (select t.x as dx, t.y as dy, g.x as sx, g.y as sy, (least(ub_x, t.x + 1.25) - greatest(lb_x, t.x - 1.25)) * (least(ub_y, t.y + 1.25) - greatest(lb_y, t.y - 1.25)) as w from t join g on lb_x < t.x + 1.25 and ub_x > t.x - 1.25 and lb_y < t.y + 1.25 and ub_y > t.y - 1.25) select cast(floor(dx / 5) as bigint) as tile_x, cast(floor(dy / 5) as bigint) as tile_y, count(*) as n, round(sum(w), 6) as w from w group by all")
+@query("regrid_chunks", f"with {GRID}, w as (select t.x as dx, t.y as dy, g.x as sx, g.y as sy, (least(ub_x, t.x + 1.25) - greatest(lb_x, t.x - 1.25)) * (degrees(sin(radians(least(ub_y, t.y + 1.25)))) - degrees(sin(radians(greatest(lb_y, t.y - 1.25))))) as w from t join g on lb_x < t.x + 1.25 and ub_x > t.x - 1.25 and lb_y < t.y + 1.25 and ub_y > t.y - 1.25) select cast(floor(dx / 5) as bigint) as tile_x, cast(floor(dy / 5) as bigint) as tile_y, count(*) as n, round(sum(w), 6) as w from w group by all")
 def regrid_chunks(spark: SparkSession, d: str) -> DataFrame:
     table = regrid.chunked_weights(grid(spark, d), target(spark), 5.0)
     return rounded(table.groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"), F.sum("w").alias("w")), "w")

@@ -428,6 +428,41 @@ def test_regrid_keeps_linear_fields(simple, spark):
     assert same == 16
 
 
+def bands(spark, edges, values=None):
+    rows = [(x + 5.0, x, x + 10.0, (a + b) / 2, a, b, None if values is None else values[k]) for x in (0.0, 10.0) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    return Field.of(spark.createDataFrame(rows, "x double, lb_x double, ub_x double, y double, lb_y double, ub_y double, v double"), ("v",))
+
+
+def test_regrid_on_the_sphere(spark, tmp_path):
+    src, whole = bands(spark, [0.0, 30.0, 90.0], [1.0, 3.0]), bands(spark, [0.0, 90.0])
+    at = lambda f: sorted((r.x, r.y, round(r.v, 9)) for r in f.df.collect())
+    want = [(5.0, 45.0, 2.0), (15.0, 45.0, 2.0)]  # half of a hemisphere lies below 30 degrees
+    assert at(regrid.regrid(src, whole)) == want
+    assert at(regrid.regrid(src, whole, weights_out=f"{tmp_path}/w")) == want == at(regrid.regrid(src, whole, weights_in=f"{tmp_path}/w"))
+    assert at(regrid.regrid(src, whole, value_mask=F.col("v") > 2)) == [(5.0, 45.0, 1.0), (15.0, 45.0, 1.0)]
+    # what is conserved: the sum of area times value over all cells
+    area = lambda f: f.df.agg(F.sum((F.col("ub_x") - F.col("lb_x")) * (F.sin(F.radians("ub_y")) - F.sin(F.radians("lb_y"))) * F.col("v"))).first()[0]
+    r = random.Random(3)
+    src, dest = bands(spark, [-90.0, -41.0, -3.0, 20.0, 55.0, 90.0], [r.random() for _ in range(5)]), bands(spark, [-90.0, -60.0, 11.0, 33.0, 90.0])
+    found = regrid.regrid(src, dest)
+    placed = found.with_df(found.df.join(dest.df.drop("v"), ["x", "y"]))
+    assert area(placed) == pytest.approx(area(src))
+    by_table = regrid.apply_weights(src, regrid.weights(src, dest))
+    assert at(found) == at(by_table)
+
+
+def test_regrid_refuses(spark, simple):
+    src = bands(spark, [0.0, 30.0, 90.0], [1.0, 3.0])
+    with pytest.raises(RegridError, match="no destination cell"):
+        regrid.regrid(src, bands(spark, [-60.0, -30.0]))
+    flat = src.with_df(src.df, dims=DimensionMap(src.dims.axes, src.dims.bounds, Crs("albers", {"lat_1": 29.5, "lat_2": 45.5, "lat_0": 23.0, "lon_0": -96.0})))
+    for a, b in ((flat, src), (src, flat)):
+        with pytest.raises(RegridError, match="geographic"):
+            regrid.regrid(a, b)
+    with pytest.raises(DefinitionError):
+        Request(simple, regrid_destination=[src, src]).validate()
+
+
 def test_regrid_over_the_dateline(spark):
     src = Field.of(spark.createDataFrame([(float(x), y, float(x == 350)) for x in range(0, 360, 10) for y in (0.0, 1.0)], "x double, y double, v double"))
     dest = Field.of(spark.createDataFrame([(355.0, 0.5, 0.0)], "x double, y double, v double"))
