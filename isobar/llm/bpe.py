@@ -31,7 +31,7 @@ from isobar.llm.base import bounded_batches, slices, table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG = 200
 #: Bytes that the ids of words, and those of pieces after a space, may hold in a worker, twice; those of an entry besides its text and ids.
-CACHED_WORDS, CACHED_PIECES, ENTRY = 24 << 20, 96 << 20, 150
+CACHED_WORDS, CACHED_PIECES, ENTRY = 8 << 20, 36 << 20, 150
 NONE = 1 << 30
 #: A space that white space or the end follows.
 DOUBLE = re.compile(r" (?=\s|\Z)")
