@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.llm import bpe, minhash, mixing, pii, quality
-from isobar.llm.base import bounded_batches, table, written
+from isobar.llm.base import bounded_batches, screened, table, written
 
 
 def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,14 +20,21 @@ def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by five-word shingles; rows that repeat an id are one document.
+    """One document of each group of near-duplicates, by five-word shingles: the least id, and of its texts one.
 
-    Rows with a null id have no place in a group and stay.
+    Texts of one id are documents of their own, unless they are equal. Rows with a null id stay unless they are near-duplicates
+    of others; blank ones are no duplicates and stay. Only rows that may have to go are shuffled.
     """
     bounded_batches(spark)
-    dropped = minhash.near_duplicates(docs, k=5).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    left = docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    found = written(minhash.near_duplicates(docs, k=5).select("doc_id", "n_shingles", F.col("rep").alias("__rep"), F.col("key").alias("__key"), "first"), "groups")
+    gone = found.where("not first").select("__rep", "__key").distinct()
+    again = found.where("first and (n_shingles > 0 or doc_id is not null)").groupBy("__rep", "__key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    rep, key = minhash.name_of("doc_id", "text")
+    rows = docs.select("*", rep.alias("__rep"), key.alias("__key"))
+    rows = screened(rows, gone.unionByName(again), ["__rep", "__key"])
+    blank = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    suspect = rows.where(F.col("__maybe") & ~blank).dropDuplicates(["__rep", "__key"]).join(gone, ["__rep", "__key"], "left_anti")
+    return rows.where(~F.col("__maybe") | blank).unionByName(suspect).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

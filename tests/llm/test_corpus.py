@@ -135,6 +135,14 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
         assert r.first == ((i is None, i or 0) == (none, least))
 
 
+def test_pipeline_keeps_every_distinct_text(spark):
+    rows = two_texts()
+    got = sorted((repr(r.doc_id), r.text or "") for r in corpus_pipeline.deduplicated(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "").collect())
+    want, _ = brute_rows(rows, 5)
+    left = [(repr(i), t) for (i, t), (none, least) in want.items() if (i is None, i or 0) == (none, least)]
+    assert got == sorted([*left, ("None", "")])  # both blank rows without an id stay
+
+
 def test_components(spark):
     r = random.Random(8)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 80)]
@@ -183,14 +191,6 @@ def test_substrings(spark, monkeypatch, hot, shard):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in found)
 
 
-def test_substrings_of_nothing(no_docs):
-    assert substring.without_repeats(no_docs).count() == 0
-
-
-def test_backward_search():
-    r = np.random.default_rng(0)
-    for _ in range(100):
-        parts = [r.integers(1, r.integers(3, 9), r.integers(5, 14)) for _ in range(r.integers(2, 9))]
 @pytest.mark.parametrize("hot", [substring.HOT, 1])
 def test_substrings_of_many_equal_rows(spark, monkeypatch, hot):
     """What equal rows are told, and what they index, doesn't grow with their number."""
@@ -204,6 +204,14 @@ def test_substrings_of_many_equal_rows(spark, monkeypatch, hot):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == brute_windows(rows)
 
 
+def test_substrings_of_nothing(no_docs):
+    assert substring.without_repeats(no_docs).count() == 0
+
+
+def test_backward_search():
+    r = np.random.default_rng(0)
+    for _ in range(100):
+        parts = [r.integers(1, r.integers(3, 9), r.integers(5, 14)) for _ in range(r.integers(2, 9))]
         symbols = np.concatenate([[*p, 0] for p in parts])
         stops = np.cumsum([len(p) + 1 for p in parts]) - 1
         got = {(d, s) for d, a, b in repeated(Index(symbols, 10), symbols, stops - [len(p) for p in parts], stops, 5) for s in range(a, b + 1)}
@@ -300,14 +308,6 @@ def test_quality_learns_rare_words_of_small_samples():
     assert with_word < without - 0.5
 
 
-def test_quality_edges(spark, docs, no_docs):
-    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 1, 0), (3, None, 1), (4, 0, None), (999, 1, 0), (8, 0, 0), (13, 1, 0)], "doc_id long, quality int, toxic int")
-    assert sorted((r.doc_id, r.grade) for r in quality.grades(labels).collect()) == [(1, 1), (8, 1), (13, 2), (999, 2)]
-    kept = quality.select(docs, labels)
-    assert kept.columns == docs.columns
-    none = quality.select(docs, labels.limit(0))
-    assert none.count() == len(documents())
-    assert quality.select(no_docs, labels).count() == 0
 def plain_loss(weights, thresholds, places, grades, each):
     """Cumulative-link likelihood, row by row."""
     out = quality.DECAY / 2 * sum(float(w) ** 2 for w in weights)
@@ -374,6 +374,14 @@ def test_quality_sample_is_bounded_whatever_repeats(spark, monkeypatch):
     assert seen == [(8, 8), (11, 11)]
 
 
+def test_quality_edges(spark, docs, no_docs):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 1, 0), (3, None, 1), (4, 0, None), (999, 1, 0), (8, 0, 0), (13, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted((r.doc_id, r.grade) for r in quality.grades(labels).collect()) == [(1, 1), (8, 1), (13, 2), (999, 2)]
+    kept = quality.select(docs, labels)
+    assert kept.columns == docs.columns
+    none = quality.select(docs, labels.limit(0))
+    assert none.count() == len(documents())
+    assert quality.select(no_docs, labels).count() == 0
 
 
 def test_quality_fit_is_repeatable(spark):
