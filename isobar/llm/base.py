@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the map that screened() broadcasts (8 MB), whatever the table.
-BITS = 1 << 26
+#: Bits of the map that screened() broadcasts (8 MB), whatever the table; bytes of its pieces; bytes of Spark's bitmaps (fixed value).
+BITS, PIECE, PART = 1 << 26, 64, 4096
 #: Rows that a Python worker handles at once; a slice of whole texts stays small beside the JVM's batch.
 SLICE = 128
 
@@ -50,16 +50,21 @@ def trim() -> None:
 def screened(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     """rows with __maybe: false where the columns on are certainly those of no row of wanted, none of them null.
 
-    So rows can be left out before a shuffle. What is broadcast is a map of BITS bits at hashed places. Keys by the hundred
-    million fill it; then all rows pass, and the join that follows does the same work as without it.
+    So rows can be left out before a shuffle. What is broadcast is a map of BITS bits at hashed places, in pieces of PIECE
+    bytes, those without any bit left out. Keys by the hundred million fill it; then all rows pass, and the join that follows
+    does the same work as without it.
     """
-    place = F.pmod(F.xxhash64(*on), F.lit(BITS)) + 1
-    marked = wanted.select(place.alias("__place")).groupBy(F.bitmap_bucket_number("__place").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__place")).alias("__bits"))
-    at = F.bitmap_bit_position("__place")
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    held = F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1) == 1
-    found = rows.withColumn("__place", place).withColumn("__part", F.bitmap_bucket_number("__place")).join(F.broadcast(marked), "__part", "left")
-    return found.withColumn("__maybe", F.coalesce(held, F.lit(False))).drop("__place", "__part", "__bits")
+    place = F.pmod(F.xxhash64(*on), F.lit(BITS))
+    found = wanted.select((place + 1).alias("__place"))
+    bits = found.groupBy(F.bitmap_bucket_number("__place").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__place")).alias("__bits"))
+    pieces = bits.select("__part", "__bits", F.explode(F.sequence(F.lit(0), F.lit(PART // PIECE - 1))).alias("__k"))
+    number = (F.col("__part") - 1) * (PART // PIECE) + F.col("__k")
+    held = pieces.select(number.alias("__piece"), F.substring("__bits", F.col("__k") * PIECE + 1, F.lit(PIECE)).alias("__bits")).where(F.col("__bits") != F.lit(bytes(PIECE)))
+    at = F.pmod("__place", F.lit(8 * PIECE)).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(1) == 1
+    asked = rows.withColumn("__place", place).withColumn("__piece", F.floor(F.col("__place") / (8 * PIECE)))
+    return asked.join(F.broadcast(held), "__piece", "left").withColumn("__maybe", F.coalesce(there, F.lit(False))).drop("__place", "__piece", "__bits")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

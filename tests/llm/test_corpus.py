@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from isobar.llm import minhash, mixing, quality, substring
+from isobar.llm.base import screened
 from isobar.llm.components import components
 from isobar.llm.shingles import words
 from isobar.llm.wavelet import Index, repeated
@@ -143,6 +144,16 @@ def test_pipeline_keeps_every_distinct_text(spark):
     assert got == sorted([*left, ("None", "")])  # both blank rows without an id stay
 
 
+def test_screen_lets_all_wanted_rows_pass(spark):
+    rows = spark.range(-5000, 60_000).select(F.col("id").alias("a"), F.when(F.col("id") % 11 > 0, F.col("id").cast("string")).alias("b"))
+    wanted = rows.where("a % 7 = 3")
+    found = screened(rows, wanted, ["a", "b"])
+    assert found.columns == ["a", "b", "__maybe"] and found.count() == 65_000
+    assert found.where("a % 7 = 3 and not __maybe").count() == 0
+    assert found.where("a % 7 <> 3 and __maybe").count() < 50  # 9,286 of 67 million places are marked
+    assert screened(rows, wanted.limit(0), ["a", "b"]).where("__maybe").count() == 0
+
+
 def test_components(spark):
     r = random.Random(8)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 80)]
