@@ -148,7 +148,8 @@ def frame(f: Field, calc: dict, v: str, grouping: Grouping | None) -> DataFrame:
         basis = daily_percentile(f, v, 90.0 if high else 10.0, 5).withColumnRenamed("value", "__basis")
         names = [*f.keys, "__month", "__day"]
         near = joined(f.df.withColumns({"__month": F.month(t), "__day": F.dayofmonth(t)}), basis.withColumnsRenamed({"month": "__month", "day": "__day"}), names)
-        test = F.col(v) > F.col("__basis") if high else F.col(v) < F.col("__basis")
+        limit = F.round("__basis", 9)  # a value that is the percentile, but for the last bits of its interpolation, isn't beyond it
+        test = F.col(v) > limit if high else F.col(v) < limit
         if key[0] == "T":
             return keyed(near, t, grouping).groupBy(*keys).agg(F.count_if(test).alias("value"))
         cells = f.with_df(near.withColumn("__test", test).drop("__month", "__day", "__basis"), variables=(*f.variables, "__test"))

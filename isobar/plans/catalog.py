@@ -338,7 +338,7 @@ BASIS = """k as (select distinct month(time) as m, day(time) as dd from t),
         union all
         select t.x, t.y, 2, 29, t.v from t join k on k.m = 2 and k.dd = 29 and date_diff('day', make_date(year(t.time), 2, 28), cast(t.time as date)) between -1 and 2
     ),
-    q as (select x, y, m, dd, quantile_cont(v, 0.1) as q10, quantile_cont(v, 0.9) as q90 from p group by x, y, m, dd)"""
+    q as (select x, y, m, dd, round(quantile_cont(v, 0.1), 9) as q10, round(quantile_cont(v, 0.9), 9) as q90 from p group by x, y, m, dd)"""
 
 @query("index_day_percentiles", f"with {TAS}, {BASIS} select t.x, t.y, cast(year(time) as int) as year, count(*) filter (v < q10) as TG10p, count(*) filter (v < q10) as TX10p, count(*) filter (v < q10) as TN10p, count(*) filter (v > q90) as TG90p, count(*) filter (v > q90) as TX90p, count(*) filter (v > q90) as TN90p from t join q on t.x = q.x and t.y = q.y and month(time) = m and day(time) = dd group by t.x, t.y, year(time)")
 def index_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -356,6 +356,10 @@ def index_spell_durations(spark: SparkSession, d: str) -> DataFrame:
     return calculate(daily(spark, d, "248 + quantity", "v"), ["WSDI", "CSDI"], ["year"]).df.select("x", "y", "year", "WSDI", "CSDI")
 
 
+# Filters.
+FROM, TO = datetime(2024, 1, 5, 6), datetime(2024, 1, 12, 18)
+
+
 @query("filter_time_range", f"with {EVENTS} select * from e where time between timestamp '2024-01-05 06:00:00' and timestamp '2024-01-12 18:00:00'")
 def filter_time_range(spark: SparkSession, d: str) -> DataFrame:
     return filters.time_range(events(spark, d), FROM, TO).df
