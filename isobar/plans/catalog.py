@@ -772,10 +772,11 @@ def mesh_elements(spark: SparkSession, d: str) -> DataFrame:
 # Streams: the same aggregates over an unbounded source.
 @query("stream_daily", f"with {EVENTS} select cast(date_trunc('day', time) as timestamp) as lb_time, rlz, round(avg(value), 6) as mean, max(value) as max, count(*) as n from e group by date_trunc('day', time), rlz")
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
-    from isobar.streaming.windows import windowed
+    from isobar.streaming.windows import folder, run_to_table, windowed
 
-    f = events(spark, d)
-    f = f.with_df(f.df.drop("x", "y", "gid").withColumn("one", F.col("value") * 0 + 1), variables=("value", "one"))
-    made = windowed(f, ["mean", "max", "sum"])
+    path = f"{d}/events.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/{{events.parquet}}")  # a pattern, as a stream reads no lone file
+    f = Field.of(source.selectExpr("ts as time", "event_type as rlz", "value", "value * 0 + 1 as one"), ("value", "one"))
+    made = run_to_table(windowed(f, ["mean", "max", "sum"]), folder(spark, "stream-daily"), folder(spark, "stream-state"), "complete")
     return rounded(made.select(F.col("lb_time").cast("timestamp_ntz").alias("lb_time"), "rlz", F.col("mean_value").alias("mean"), F.col("max_value").alias("max"), F.col("sum_one").cast("long").alias("n")), "mean")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.errors import DefinitionError
@@ -31,8 +33,25 @@ def windowed(f: Field, calc: Any, window: str = "1 day", delay: str = "1 day", s
     return out.select(F.col("w.start").alias("lb_time"), F.col("w.end").alias("ub_time"), *[c for c in out.columns if c != "w"])
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a streaming query over what its source has now, into a table in memory."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path for a stream's state or result, in the folder that all executors share (spark.checkpoint.dir)."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise DefinitionError("spark.checkpoint.dir has to name a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="isobar-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a streaming query over what its source has now, into a Parquet table, which is read again.
+
+    append adds windows as the watermark closes them; complete writes all windows anew with each batch.
+    """
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        writer = writer.format("parquet").option("path", path)
+    writer.start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)

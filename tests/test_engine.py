@@ -594,8 +594,10 @@ def test_stream(spark, tmp_path, simple):
     simple.df.select("time", "x", "y", "foo").repartition(3).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("time timestamp_ntz, x double, y double, foo double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     made = windowed(Field.of(source, ("foo",)), ["mean", "max"], "1 day")
-    rows = run_to_table(made, "daily", str(tmp_path / "cp"), "complete").collect()
+    rows = run_to_table(made, str(tmp_path / "out"), str(tmp_path / "cp"), "complete").collect()
     assert len(rows) == 61 * 16 and {r["mean"] for r in rows} == {1.0, 2.0, 3.0, 4.0}
+    closed = run_to_table(made, str(tmp_path / "out2"), str(tmp_path / "cp2")).collect()
+    assert set(closed) < set(rows) and len(closed) >= 58 * 16  # the last days wait for the watermark
     with pytest.raises(DefinitionError):
         windowed(Field.of(source, ("foo",)), "duration!threshold~1!operation~gt")
 
