@@ -207,6 +207,23 @@ def test_top_k_prunes(monkeypatch):
     assert len(calls) < 16 * 8  # of 16 times 16 blocks
 
 
+def test_top_k_sends_what_survives(spark, monkeypatch):
+    """Of blocks of clustered vectors few are sent to a group of queries, and the answer is exact."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(24, 16)) * 4
+    vectors = (centres[np.repeat(np.arange(24), 120)] + r.normal(size=(2880, 16)) / 8).tolist()
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERIES", 6)
+    tables, real = {}, topk.written
+    monkeypatch.setattr(topk, "written", lambda df, name: tables.setdefault(name, real(df, name)))
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    asked = list(range(0, 2880, 60))
+    found = topk.top_k(df, df.where(F.col("vec_id") % 60 == 0))
+    assert sorted(map(repr, (tuple(x) for x in found.collect()))) == brute_top(vectors, range(2880), asked, 10)
+    blocks, groups = tables["blocks"].count(), tables["queries"].select("group").distinct().count()
+    assert groups == 8 and tables["survivors"].count() < 0.4 * blocks * groups
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, df).count() == 0
