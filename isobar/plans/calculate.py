@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -57,8 +58,12 @@ def joined(base: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
     return base.join(renamed, test, "left").drop(*[f"__{k}" for k in keys])
 
 
-def daily_percentile(f: Field, v: str, percentile: float, window_width: int, only_leap_years: bool = False) -> DataFrame:
-    """(keys, month, day, value): the percentile of each calendar day over all years within half a window.
+def shares(percentile: float | list[float]) -> Column:
+    return F.array(*(F.lit(p / 100) for p in percentile)) if isinstance(percentile, list) else F.lit(percentile / 100)
+
+
+def daily_percentile(f: Field, v: str, percentile: float | list[float], window_width: int, only_leap_years: bool = False) -> DataFrame:
+    """(keys, month, day, value): the percentile of each calendar day over all years within half a window; of several an array.
 
     Each value goes out to the window_width calendar days that it counts for: as many rows per value, no join of days. 29
     February stands at 28 February, one day later at its end; with only_leap_years it counts from leap years alone.
@@ -75,7 +80,7 @@ def daily_percentile(f: Field, v: str, percentile: float, window_width: int, onl
         near = f.df.where(F.col(v).isNotNull()).withColumn("__day", t.cast("date")).where((F.col("__day") >= F.date_sub(end, h - 1)) & (F.col("__day") <= F.date_add(end, h)))
         near = near.withColumn("month", F.lit(2)).withColumn("day", F.lit(29)).join(F.broadcast(there), (F.col("month") == F.col("__m")) & (F.col("day") == F.col("__d")), "left_semi")
         out = rows.where(~((F.col("month") == 2) & (F.col("day") == 29))).unionByName(near)
-    return out.groupBy(*keys).agg(F.percentile(v, F.lit(percentile / 100)).alias("value"))
+    return out.groupBy(*keys).agg(F.percentile(v, shares(percentile)).alias("value"))
 
 
 def thaws(series: Column, threshold: float) -> Column:
@@ -128,6 +133,45 @@ def freezethaw(f: Field, v: str, grouping: Grouping, threshold: float = 15.0) ->
     return series.select(*keys, F.when(F.size("__series") > 0, thaws(F.col("__series"), float(threshold))).alias("value"))
 
 
+def near_basis(f: Field, v: str, percentile: float | list[float]) -> DataFrame:
+    """A field's rows with __basis, the percentile of their calendar day and cell, or an array of several.
+
+    It is rounded: a value that is the percentile, but for the last bits of its interpolation, isn't beyond it.
+    """
+    t = f.axis("time")
+    own = F.transform("value", lambda x: F.round(x, 9)) if isinstance(percentile, list) else F.round("value", 9)
+    basis = daily_percentile(f, v, percentile, 5).withColumnsRenamed({"month": "__month", "day": "__day"}).withColumn("__basis", own).drop("value")
+    days = f.df.withColumns({"__month": F.month(t), "__day": F.dayofmonth(t)})
+    return joined(days, basis, [*f.keys, "__month", "__day"]).drop("__month", "__day")
+
+
+#: Indices of values beyond percentiles: TG10p to TN90p of the calendar day's, R75p to R99pTOT of wet days'.
+BEYOND = re.compile(r"(?:T[GXN](?P<day>10|90)p|R(?P<wet>75|95|99)p(?:TOT)?)\Z")
+
+
+def beyond(f: Field, v: str, named_keys: list[tuple[str, str]], grouping: Grouping) -> DataFrame:
+    """(group's keys, a column for each name) of indices of one variable: their percentiles are made, and joined, together."""
+    keys, made = group_keys(f, grouping), []
+    days = [k for _, k in named_keys if BEYOND.match(k)["day"]]
+    ranks = sorted({float(BEYOND.match(k)["day"] or BEYOND.match(k)["wet"]) for _, k in named_keys})
+    if days:
+        near = keyed(near_basis(f, v, ranks), f.axis("time"), grouping)
+    else:
+        basis = f.df.where(F.col(v) >= 1).groupBy(*f.keys).agg(F.percentile(v, shares(ranks)).alias("__basis"))
+        near = joined(keyed(f.df, f.axis("time"), grouping), basis, f.keys)
+    for name, key in named_keys:
+        found = BEYOND.match(key)
+        limit = F.col("__basis")[ranks.index(float(found["day"] or found["wet"]))]
+        if found["day"]:
+            value = F.count_if(F.col(v) > limit if found["day"] == "90" else F.col(v) < limit)
+        else:
+            wet = (F.col(v) >= 1) & (F.col(v) > limit)
+            whole = F.nullif(F.sum(F.when(F.col(v) >= 1, F.col(v))), F.lit(0.0))
+            value = 100 * F.coalesce(F.sum(F.when(wet, F.col(v))), F.lit(0.0)) / whole if key.endswith("TOT") else F.count_if(wet)
+        made.append(value.alias(name))
+    return near.groupBy(*keys).agg(*made)
+
+
 def frame(f: Field, calc: dict, v: str, grouping: Grouping | None) -> DataFrame:
     """(group's keys, value) of calculations that are more than one aggregate."""
     key, params, t = calc["func"], calc["kwds"], f.axis("time")
@@ -143,27 +187,13 @@ def frame(f: Field, calc: dict, v: str, grouping: Grouping | None) -> DataFrame:
     if key == "RX5day":
         five = groups.withColumn("__five", F.when(F.count(F.lit(1)).over(w.rowsBetween(-4, 0)) == 5, F.sum(v).over(w.rowsBetween(-4, 0))))
         return five.groupBy(*keys).agg(F.max("__five").alias("value"))
-    if key in ("WSDI", "CSDI") or key[:2] in ("TG", "TX", "TN"):
-        high = key == "WSDI" or key.endswith("90p")
-        basis = daily_percentile(f, v, 90.0 if high else 10.0, 5).withColumnRenamed("value", "__basis")
-        names = [*f.keys, "__month", "__day"]
-        near = joined(f.df.withColumns({"__month": F.month(t), "__day": F.dayofmonth(t)}), basis.withColumnsRenamed({"month": "__month", "day": "__day"}), names)
-        limit = F.round("__basis", 9)  # a value that is the percentile, but for the last bits of its interpolation, isn't beyond it
-        test = F.col(v) > limit if high else F.col(v) < limit
-        if key[0] == "T":
-            return keyed(near, t, grouping).groupBy(*keys).agg(F.count_if(test).alias("value"))
-        cells = f.with_df(near.withColumn("__test", test).drop("__month", "__day", "__basis"), variables=(*f.variables, "__test"))
-        long = runs(cells, grouping, F.col("__test")).where("length >= 6").groupBy(*keys).agg(F.sum("length").alias("value"))
-        return joined(groups.select(*keys).distinct(), long, keys).withColumn("value", F.coalesce("value", F.lit(0)))
-    # R75p and so on: wet days above a percentile of all wet days of the cell
-    basis = f.df.where(F.col(v) >= 1).groupBy(*f.keys).agg(F.percentile(v, F.lit(int(key[1:3]) / 100)).alias("__basis"))
-    near = joined(groups, basis, f.keys)
-    wet = (F.col(v) >= 1) & (F.col(v) > F.col("__basis"))
-    if key.endswith("TOT"):
-        value = 100 * F.coalesce(F.sum(F.when(wet, F.col(v))), F.lit(0.0)) / F.nullif(F.sum(F.when(F.col(v) >= 1, F.col(v))), F.lit(0.0))
-    else:
-        value = F.count_if(wet)
-    return near.groupBy(*keys).agg(value.alias("value"))
+    # WSDI and CSDI: days of spells of six and more beyond the calendar day's percentile
+    high = key == "WSDI"
+    limit = F.col("__basis")
+    near = near_basis(f, v, 90.0 if high else 10.0).withColumn("__test", F.col(v) > limit if high else F.col(v) < limit)
+    cells = f.with_df(near.drop("__basis"), variables=(*f.variables, "__test"))
+    long = runs(cells, grouping, F.col("__test")).where("length >= 6").groupBy(*keys).agg(F.sum("length").alias("value"))
+    return joined(groups.select(*keys).distinct(), long, keys).withColumn("value", F.coalesce("value", F.lit(0)))
 
 
 def calculate(f: Field, calc: Any, grouping: Any = None, sample_size: bool = False) -> Field:
@@ -184,6 +214,7 @@ def calculate(f: Field, calc: Any, grouping: Any = None, sample_size: bool = Fal
         raise DefinitionError("expressions and windows over time take no calc_grouping")
     keys = group_keys(f, grouping)
     aggregates, later, names, units = [], [], [], {}
+    together: dict[tuple[str, bool], list[tuple[str, str]]] = {}
     for x in calcs:
         of, kwds = x["of"], x["kwds"]
         if of.kind in ("multi", "multiset"):
@@ -216,6 +247,8 @@ def calculate(f: Field, calc: Any, grouping: Any = None, sample_size: bool = Fal
                     every = joined(keyed(f.df, f.axis("time"), grouping).select(*keys).distinct(), found, keys)
                     found = every.groupBy(*keys).agg(of.build(F.col("length"), **{k: v for k, v in kwds.items() if k == "summary"}).alias("value"))
                 later.append((name, found))
+            elif found := BEYOND.match(x["func"]):
+                together.setdefault((v, bool(found["day"])), []).append((name, x["func"]))
             else:
                 later.append((name, frame(f, x, v, grouping)))
     if sample_size:
@@ -224,6 +257,8 @@ def calculate(f: Field, calc: Any, grouping: Any = None, sample_size: bool = Fal
     out = stamped(keyed(f.df, f.axis("time"), grouping).groupBy(*keys).agg(*summary(f, grouping), *aggregates), grouping)
     for name, more in later:
         out = joined(out, more.withColumnRenamed("value", name), keys)
+    for (v, _), wanted in together.items():
+        out = joined(out, beyond(f, v, wanted, grouping), keys)
     axes = {**f.dims.axes, "time": "time"}
     dims = type(f.dims)(axes, {**f.dims.bounds, "time": ("lb_time", "ub_time")}, f.dims.crs)
     return Field(out, dims, tuple(names), units, f.attrs, f.name, f.did)
