@@ -192,20 +192,24 @@ def unproject(crs: Crs, x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(F.atan2(x, rho0 - y) / n + lon0), F.degrees(lat)
 
 
-def transform(f: Field, source: Crs, target: Crs) -> Field:
-    """A field's x and y in another system. Bounds are no boxes there, and go."""
-    if source.matches(target) or (source.geographic and target.geographic):
-        return f
-    x, y = f.axis("x"), f.axis("y")
-    p = source.params
+def point(source: Crs, target: Crs, x: Column, y: Column) -> tuple[Column, Column]:
+    """A point's coordinates in another system."""
+    p, q = source.params, target.params
     if source.kind == "rotated_pole":
         x, y = rotated_to_geographic(x, y, p["pole_lon"], p["pole_lat"])
     elif not source.geographic:
         x, y = unproject(source, x, y)
-    q = target.params
     if target.kind == "rotated_pole":
         x, y = geographic_to_rotated(x, y, q["pole_lon"], q["pole_lat"])
     elif not target.geographic:
         x, y = project(target, x, y)
+    return x, y
+
+
+def transform(f: Field, source: Crs, target: Crs) -> Field:
+    """A field's x and y in another system. Bounds are no boxes there, and go."""
+    if source.matches(target) or (source.geographic and target.geographic):
+        return f
+    x, y = point(source, target, f.axis("x"), f.axis("y"))
     f = f.with_df(f.df.withColumns({"__x": x, "__y": y}).withColumns({f.dims.column("x"): F.col("__x"), f.dims.column("y"): F.col("__y")}).drop("__x", "__y"))
     return f.drop_bounds("x", "y")

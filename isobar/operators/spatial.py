@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isobar.errors import DefinitionError
+from isobar.functions.crs import Crs, point
 from isobar.model import Field
 
 #: What is left out of results: the shapes of selections.
@@ -320,6 +321,25 @@ def buffered(sel: DataFrame, by: float) -> DataFrame:
     return out.withColumn("reach", F.when(F.col("ring").isNotNull(), before + by))
 
 
+def projected(sel: DataFrame, source: Crs, target: Crs) -> DataFrame:
+    """Selections in another system, vertex by vertex: boxes become rings of their corners, points stay points."""
+    if source.matches(target) or (source.geographic and target.geographic):
+        return sel
+    ring = F.col("ring") if "ring" in sel.columns else F.lit(None).cast(RING)
+    lone = ring.isNull() & (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    box = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))
+
+    def moved(p: Column) -> Column:
+        x, y = point(source, target, p.x, p.y)
+        return F.when(p.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+    out = sel.withColumn("__ring", F.transform(F.coalesce(ring, box), moved))
+    edge = lambda f, c: f(F.transform("__ring", lambda p: p[c]))
+    out = out.withColumns({"x0": edge(F.array_min, "x"), "y0": edge(F.array_min, "y"), "x1": edge(F.array_max, "x"), "y1": edge(F.array_max, "y"), "ring": F.when(~lone, F.col("__ring"))})
+    return out.drop("__ring")
+
+
 def wrap_selections(sel: DataFrame) -> DataFrame:
     """Boxes in 0..360 turned to -180..180; one that straddles 180 becomes two with one ugid."""
     left = sel.where("x0 < 180").withColumn("x1", F.least("x1", F.lit(180.0)))

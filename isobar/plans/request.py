@@ -70,6 +70,7 @@ class Request:
     spatial_reorder: bool = False
     keep_touches: bool | None = None
     multivariate: bool = False
+    geom_crs: C.Crs | None = None
 
     @classmethod
     def from_query(cls, query: str, dataset: Any) -> Request:
@@ -169,6 +170,8 @@ class Request:
             f = f.drop_bounds("x", "y")
         if sel is None:
             return f
+        # selections are geographic unless told otherwise, and go into the field's system
+        sel = spatial.projected(sel, self.geom_crs or C.Crs(), f.dims.crs if isinstance(f.dims.crs, C.Crs) else self.geom_crs or C.Crs())
         if self.select_nearest:
             return spatial.nearest(f, sel, "gid")
         if self.search_radius_mult:

@@ -366,6 +366,23 @@ def test_projections_turn_back(spark, crs):
     assert Crs.from_cf(crs.to_cf()).matches(crs) and Crs.from_proj4(crs.to_proj4()).kind == crs.kind
 
 
+def test_selections_go_into_the_fields_system(spark):
+    crs = Crs("albers", {"lat_1": 29.5, "lat_2": 45.5, "lat_0": 23.0, "lon_0": -96.0})
+    lonlat = spark.createDataFrame([(k, -110.0 + k % 20, 30.0 + k // 20) for k in range(300)], "gid int, lon double, lat double")
+    x, y = project(crs, F.col("lon"), F.col("lat"))
+    f = Field.of(lonlat.select("gid", "lon", "lat", x.alias("x"), y.alias("y"), F.lit(1.0).alias("v")), ("v",), DimensionMap(crs=crs))
+    ring = [(-104.6, 31.5), (-96.2, 33.5), (-99.3, 42.5)]
+    px, py = project(crs, F.col("a"), F.col("b"))
+    flat = [tuple(r) for r in spark.createDataFrame(ring, "a double, b double").select(px, py).collect()]
+    inside = lambda p: sum((a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(flat, [*flat[1:], flat[0]], strict=True)) % 2 == 1
+    want = sorted(r.gid for r in f.df.collect() if inside((r.x, r.y)))
+    got = lambda geom, **more: sorted(r.gid for r in Request(f, geom=geom, **more).execute(spark).collect())
+    assert got([ring]) == want == got([flat], geom_crs=crs) and 20 < len(want) < 100
+    assert got([(-105.3, 33.6)], select_nearest=True) == [5 + 20 * 4]
+    near = got([(-104.4, 32.6, -100.4, 35.4)])  # a box between the grid's lines, whose sides bend by less than half a step
+    assert near == sorted(r.gid for r in lonlat.where("lon between -104.4 and -100.4 and lat between 32.6 and 35.4").collect())
+
+
 def test_lambert_of_the_origin(spark):
     crs = Crs("lambert", {"lat_1": 30.0, "lat_2": 60.0, "lat_0": 47.5, "lon_0": -97.0, "x_0": 10.0, "y_0": 20.0})
     x, y = project(crs, F.lit(-97.0), F.lit(47.5))
