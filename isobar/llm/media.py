@@ -106,8 +106,12 @@ def read_png(data: bytes) -> np.ndarray:
     if not ended or not channels or head[2] != 8 or head[6]:
         raise ValueError("PNG of another kind")
     width, height = head[:2]
-    raw = zlib.decompress(b"".join(packed))
-    if len(raw) != height * (width * channels + 1):
+    size, inflate = height * (width * channels + 1), zlib.decompressobj()
+    try:
+        raw = inflate.decompress(b"".join(packed), size + 1)  # no more than the header tells, whatever the data say
+    except zlib.error as e:
+        raise ValueError("PNG data broken") from e
+    if len(raw) != size or not inflate.eof:
         raise ValueError("PNG of another size")
     lines = np.frombuffer(raw, np.uint8).reshape(height, -1)
     return unfiltered(lines, channels).reshape(height, width, channels)

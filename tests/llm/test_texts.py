@@ -243,3 +243,40 @@ def test_media_query(docs, no_docs):
     for r in rows:
         assert by_text.setdefault(texts[r.doc_id], (r.media_sha256, r.feature, r.media_bytes)) == (r.media_sha256, r.feature, r.media_bytes)
     assert media.digests(no_docs).count() == 0
+
+
+def plain_feature(pixels):
+    """The hash by plain sums: block means, then each low frequency on its own."""
+    grey = pixels.sum(axis=2).tolist()
+
+    def means(values):
+        n = len(values)
+        if n < 32:
+            return [values[k * n // 32] for k in range(32)]
+        cuts = [k * n // 32 for k in range(33)]
+        return [sum(values[a:b]) / (b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    tall = list(zip(*(means(list(c)) for c in zip(*grey, strict=True)), strict=True))
+    small = [means(list(r)) for r in tall]
+    wave = lambda k, x: np.cos(np.pi * k * (2 * x + 1) / 64)
+    low = [round(sum(small[y][x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return f"{int(''.join('1' if x > middle else '0' for x in low), 2):016x}"
+
+
+@pytest.mark.parametrize("rows", [1, 20, 32, 75])
+def test_media_features_are_plain_cosine_sums(rows):
+    pixels = np.random.default_rng(rows).integers(0, 256, (rows, 64, 3), dtype=np.uint8)
+    assert media.feature(pixels) == plain_feature(pixels.astype(int))
+
+
+def test_media_inflates_no_more_than_the_header_tells():
+    def file(rows, data):
+        head = media.chunk(b"IHDR", media.struct.pack(">IIBBBBB", 64, rows, 8, 2, 0, 0, 0))
+        return media.SIGNATURE + head + media.chunk(b"IDAT", data) + media.chunk(b"IEND", b"")
+
+    whole = zlib.compress(bytes(193 * 2))
+    assert media.read_png(file(2, whole)).shape == (2, 64, 3)
+    for rows, data in ((1, whole), (3, whole), (1, zlib.compress(bytes(50_000_000))), (2, whole[:-3]), (2, b"no zlib")):
+        with pytest.raises(ValueError, match="PNG"):
+            media.read_png(file(rows, data))
